@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import ngrams, sampling
+from tamarisk.llm import mapping, ngrams, sampling
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import table
+from tamarisk.plans.scale import checkpoint, lookup, table
 
 R = Registry()
 
@@ -86,4 +86,30 @@ def p2_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=3)
 
 
+# Problem 3
+
+
+def _cars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(car_ID, CarName) once for each car, and the mapping of the distinct names."""
+    names = table(spark, d, "car_names").select(F.col("name_id").alias("id"), F.col("car_name").alias("name"), "maker", F.col("maker_abbr").alias("abbr"))
+    cars = ngrams.one_record(table(spark, d, "cars"), "car_ID", "CarName", "updated_at")
+    return cars, mapping.map_values(cars.select("CarName"), names)
+
+
+@R.add("p3_mapped")
+def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
+    cars, mapped = _cars(spark, d)
+    m = checkpoint(mapped.select(F.col("value").alias("CarName"), F.col("id").cast("int").alias("name_id"), "score"))
+    return lookup(cars, m, ["CarName"])
+
+
+@R.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "car_names").select(F.col("car_name").alias("CarName")).where("CarName IS NOT NULL").distinct()
+    cars, mapped = _cars(spark, d)
+    m = mapped.select(F.col("value").alias("CarName"), F.col("id").cast("int").alias("name_id"))
+    m = checkpoint(lookup(m, listed, ["CarName"], "left_anti"))
+    return lookup(cars, m, ["CarName"], "inner").select(F.col("car_ID").cast("long").alias("car_ID"), "name_id")
+
+
 QUERIES, SQL = R.queries, R.sql
