@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import mapping, ngrams, sampling
+from tamarisk.llm import mapping, ngrams, packing, sampling, tokens
 from tamarisk.plans.registry import Registry
 from tamarisk.plans.scale import checkpoint, lookup, table
 
@@ -112,4 +112,42 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookup(cars, m, ["CarName"], "inner").select(F.col("car_ID").cast("long").alias("car_ID"), "name_id")
 
 
+# Problem 6
+
+
+@R.add("p6_ids")
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+@R.add("p6_spans")
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_spans(tokens.encode_corpus(table(spark, d, "documents")))
+
+
+@R.add("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, d, "documents")))
+
+
+# Problem 7
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    plans = table(spark, d, "pack_plans").select("plan_id", F.col("tokenizer").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    names = sorted(r.kind for r in plans.select("kind").distinct().limit(packing.MAX_PLANS).collect())
+    sizes = tokens.token_counts(table(spark, d, "documents"), names).select("doc_id", F.col("tokenizer").alias("kind"), F.col("tokens").alias("units"))
+    return packing.pack(sizes, plans), plans
+
+
+@R.add("p7_packed")
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)[0].withColumnsRenamed({"start": "start_token", "units": "tokens"})
+
+
+@R.add("p7_fill")
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(*_packed(spark, d))
+
+
 QUERIES, SQL = R.queries, R.sql
