@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import mapping, ngrams, packing, sampling, tokens
+from tamarisk.llm import mapping, ngrams, packing, pii, sampling, surrogates, tokens
 from tamarisk.plans.registry import Registry
 from tamarisk.plans.scale import checkpoint, lookup, table
 
@@ -150,4 +150,22 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(*_packed(spark, d))
 
 
+# Problem 8
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_entities(table(spark, d, "documents"), table(spark, d, "person_names")).select("doc_id", "kind", "start_char")
+
+
+@R.add("p8_redacted")
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "person_names"))
+
+
+@R.add("p8_surrogates")
+def p8_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, d, "documents"), table(spark, d, "person_names"), "a key of the user's own")
+
+
 QUERIES, SQL = R.queries, R.sql
