@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tamarisk.plans import quality
+from tamarisk.plans import quality, text_queries
 from tamarisk.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-for _m in (quality,):
+for _m in (text_queries, quality):
     QUERIES |= _m.R.queries
     SQL |= _m.R.sql
