@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, which is removed when the session ends.
+
+    Unlike a checkpoint the table carries no constraints of the plan that made it, so that it can be joined and united with itself.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tamarisk-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
