@@ -22,7 +22,7 @@ def match_groups(column: Column | str, pattern: str, groups: int) -> Column:
 
 def count_it(df: DataFrame, column: str, pattern: str, group: int = 0, first_only: bool = False) -> DataFrame:
     """(value, freq) of all matches of a pattern."""
-    return df.select(F.explode(matches(column, pattern, group, first_only)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
+    return df.select(F.explode_outer(matches(column, pattern, group, first_only)).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def normalized(freq: DataFrame, value: str = "freq") -> DataFrame:
@@ -38,7 +38,7 @@ def top(df: DataFrame, value: str, k: int, tie: str, descending: bool = True) ->
 
 def document_frequency(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """(term, df, freq) over arrays of terms."""
-    t = df.select(key, F.explode(terms).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("c"))
+    t = df.select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy("term", key).agg(F.count(F.lit(1)).alias("c"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("freq"))
 
 

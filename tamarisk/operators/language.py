@@ -19,13 +19,13 @@ CLASSES = (("NN", "noun"), ("VB", "verb"), ("MD", "verb"), ("RB", "adverb"), ("J
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, sentence_no (from 1), sentence: split after ``.``, ``!`` or ``?`` and white space; empty ones dropped."""
     parts = F.transform(F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\u0001"), "\u0001"), lambda s: F.regexp_replace(s, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-    return docs.select(key, F.posexplode(F.filter(parts, lambda s: s != "")).alias("i", "s")).select(key, (F.col("i") + 1).alias("sentence_no"), F.col("s").alias("sentence"))
+    return docs.select(key, F.posexplode_outer(F.filter(parts, lambda s: s != "")).alias("i", "s")).where("s IS NOT NULL").select(key, (F.col("i") + 1).alias("sentence_no"), F.col("s").alias("sentence"))
 
 
 def word_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", punctuation: bool = True) -> DataFrame:
     """``key``, token_no (from 1), token: words and, with ``punctuation``, runs of other visible characters."""
     found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]+" if punctuation else "[A-Za-z0-9_]+"), F.lit(0))
-    return docs.select(key, F.posexplode(found).alias("i", "token")).select(key, (F.col("i") + 1).alias("token_no"), "token")
+    return docs.select(key, F.posexplode_outer(found).alias("i", "token")).where("token IS NOT NULL").select(key, (F.col("i") + 1).alias("token_no"), "token")
 
 
 def tag(tokens: DataFrame, pos: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def ngram_counts(sents: DataFrame, order: int = 3, text: str = "sentence") -> Da
     def grams(n: int) -> Column:
         return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(toks, i, n), " ").alias("ngram")))).otherwise(F.array().cast("array<struct<n:int,ngram:string>>"))
 
-    return sents.select(F.inline(F.concat(*[grams(n) for n in range(1, order + 1)]))).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("count"))
+    return sents.select(F.inline_outer(F.concat(*[grams(n) for n in range(1, order + 1)]))).where("n IS NOT NULL").groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("count"))
 
 
 def language_model(counts: DataFrame, discount: float = 0.5) -> DataFrame:

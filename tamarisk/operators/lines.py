@@ -10,7 +10,8 @@ from tamarisk.functions import dates
 
 def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, line_no (from 1) and line; a null text has no lines, an empty one has one empty line."""
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\n")).alias("i", "line")).select(key, (F.col("i") + 1).alias("line_no"), "line")
+    rows = docs.select(key, F.posexplode_outer(F.split(F.col(text), "\n")).alias("i", "line")).where("line IS NOT NULL")
+    return rows.select(key, (F.col("i") + 1).alias("line_no"), "line")
 
 
 def _over(key: str, frame: str = "") -> str:

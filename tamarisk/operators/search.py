@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.plans.scale import checkpoint
+
 #: Query vectors that are held in a task at once; more are handled in further passes over the rows.
 QUERY_BLOCK = 2000
 
@@ -20,7 +22,7 @@ def terms(text: Column | str) -> Column:
 
 def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, ``key``, tf)."""
-    return docs.select(key, F.explode(terms(text)).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(key, F.explode_outer(terms(text)).alias("term")).where("term IS NOT NULL").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def boolean_search(index: DataFrame, words: list[str], conjunctive: bool = False, key: str = "doc_id") -> DataFrame:
@@ -63,21 +65,22 @@ def _best(parts: list[DataFrame], k: int, query: str, score: str, other: str, de
     return both.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY `{query}` ORDER BY round(`{score}`, 9) {order}, `{other}`)")).where(F.col("rank") <= k)
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", block: int = QUERY_BLOCK) -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str = "doc_id", block: int = QUERY_BLOCK) -> DataFrame:
     """query, ``key``, similarity, rank: the ``k`` documents most similar to each query document, itself left out.
 
-    ``queries`` are rows of ``vectors``. They are compared with all vectors in blocks of ``block`` that every task holds as posting
+    ``queries`` is the condition of the rows of ``vectors`` that are queries. They are compared with all vectors in blocks of ``block`` that every task holds as posting
     lists: no join on a frequent word. Each task passes on only its ``k`` best for each query.
     """
-    return _blocks(vectors, queries, k, key, block, _sparse, True, "similarity")
+    vectors = checkpoint(vectors)
+    return _blocks(vectors, vectors.where(queries), k, key, block, _sparse, True, "similarity")
 
 
-def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+def vector_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", column: str = "embedding", metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
     """query, ``key``, distance (or similarity), rank: the nearest vectors by ``l2`` or ``cosine``, the query itself left out.
 
     Exact: blocks of queries against all rows by matrix products; vectors of another length than the query's are skipped.
     """
-    v, q = (t.select(key, F.col(column).alias("weights")) for t in (vectors, queries))
+    v, q = (t.select(key, F.col(column).alias("weights")) for t in (vectors, vectors.where(queries)))
     return _blocks(v, q, k, key, block, _dense_l2 if metric == "l2" else _dense_cosine, metric != "l2", "similarity" if metric == "cosine" else "distance")
 
 

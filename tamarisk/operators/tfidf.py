@@ -49,8 +49,9 @@ def frequencies(docs: DataFrame, sizes: Sequence[int] = (1,), stop: Sequence[str
     All n-grams of a document are counted in the task that reads it, so only the counts are shuffled.
     """
     grams = ngrams(clause_words(text.clean(column) if cleaned is None else cleaned, stop), sizes)
-    per_doc = docs.select(key, grams.alias("g")).where("g IS NOT NULL")
-    return per_doc.select(key, F.size("g").alias("doc_len"), F.explode("g").alias("ngram")).groupBy(key, "ngram", "doc_len").agg(F.count(F.lit(1)).alias("tf")).select(key, "ngram", "tf", "doc_len")
+    # The outer form, as the plain one puts a filter on the array below, which would make it once more.
+    rows = docs.select(key, grams.alias("g")).select(key, F.size("g").alias("n"), F.explode_outer("g").alias("ngram")).where("ngram IS NOT NULL")
+    return rows.groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("tf"), F.max("n").alias("doc_len"))
 
 
 def with_df(tf: DataFrame, key: str = "doc_id", salts: int = SALTS) -> DataFrame:
@@ -110,7 +111,8 @@ def top_terms(tf: DataFrame, n: int, limit: int = 100, key: str = "doc_id", epsi
 def df_table(tf: DataFrame, n: int) -> DataFrame:
     """ngram, df, df_norm (df over the largest df) and df_share (df over ``n``); the largest df is a scalar subquery."""
     df = tf.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
-    most = df.select(F.max("df")).scalar()
+    # Of both columns, so that the subquery's exchange is the one of the table and runs once.
+    most = df.select(F.max(F.struct("df", "freq"))["df"]).scalar()
     return df.select("ngram", "df", "freq", (F.col("df") / most).alias("df_norm"), (F.col("df") / F.lit(float(n))).alias("df_share"))
 
 

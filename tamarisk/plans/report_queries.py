@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import counting, language, lines, reports, tfidf
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import lookup, table
+from tamarisk.plans.scale import lookup, spread, table
 from tamarisk.plans.table_queries import _LINES
 
 R = Registry()
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.numbered(table(spark, d, "documents"))
+    return lines.numbered(spread(table(spark, d, "documents"), "doc_id"))
 
 
 @R.add(
@@ -91,7 +91,7 @@ _SENT = r"sent AS (SELECT doc_id, k AS sentence_no, s[k] AS sentence FROM (SELEC
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return language.sentences(table(spark, d, "documents"))
+    return language.sentences(spread(table(spark, d, "documents"), "doc_id"))
 
 
 @R.add("sentences", f"WITH {_SENT} SELECT * FROM sent")
@@ -135,7 +135,7 @@ def stemmed_words(spark: SparkSession, d: str) -> DataFrame:
 @R.add("tfidf_stemmed")
 def tfidf_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """Top unigrams by stem: every distinct word is stemmed once and looked up."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     tf = tfidf.frequencies(docs, (1,), tfidf.STOP_WORDS)
     st = language.stems(tf.select("ngram"), "ngram").select(F.col("word").alias("ngram"), "stem")
     both = lookup(tf, st, ["ngram"], "inner").groupBy("doc_id", "doc_len", F.col("stem").alias("ngram")).agg(F.sum("tf").alias("tf"))
@@ -175,6 +175,6 @@ _TOP = "tfidf_top_bigrams"
 
 @R.add("keyword_sets")
 def keyword_sets(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     top = tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3)
     return counting.keyword_stats(top)[1]

@@ -30,6 +30,16 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table as it is read, dealt by ``key`` over all cores if its files make fewer tasks than there are cores.
+
+    Only for scans: asking a plan with a shuffle for its partitions would run it. Large tables have more tasks and stay as
+    they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi-join of ``big`` with ``small`` that splits every key of ``big`` over ``salts`` tasks.
 

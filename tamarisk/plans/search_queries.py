@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import columns, counting, evaluation, lookups, matrix, search
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import lookup, table
+from tamarisk.plans.scale import lookup, spread, table
 
 R = Registry()
 
@@ -25,7 +25,7 @@ _TOK = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS toke
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(counting.matches(F.lower("text"), "[a-z]+")).alias("token")).distinct()
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.explode(counting.matches(F.lower("text"), "[a-z]+")).alias("token")).distinct()
 
 
 @R.add("spelling_not_listed", f"SELECT DISTINCT doc_id, token FROM ({_TOK}) WHERE token NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM snippets WHERE text IS NOT NULL)")
@@ -90,7 +90,7 @@ _IDX = "idx AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.inverted_index(table(spark, d, "documents"))
+    return search.inverted_index(spread(table(spark, d, "documents"), "doc_id"))
 
 
 @R.add("inverted_index", f"WITH {_IDX} SELECT * FROM idx")
@@ -133,8 +133,8 @@ SELECT query, doc_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""",
 )
 def document_neighbours(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    v = search.tfidf_vectors(search.inverted_index(docs), docs.count())
-    return search.cosine_neighbours(v, v.where("doc_id % 50 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+    v = search.tfidf_vectors(_index(spark, d), docs.count())
+    return search.cosine_neighbours(v, F.col("doc_id") % 50 == 0, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 _EMB = "SELECT a.vec_id AS query, b.vec_id, {0} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id"
@@ -143,13 +143,13 @@ _EMB = "SELECT a.vec_id AS query, b.vec_id, {0} AS s FROM embeddings a JOIN embe
 @R.add("embedding_l2_neighbours", "WITH s AS (" + _EMB.format("sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))))") + "), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9), vec_id) AS rank FROM s) SELECT query, vec_id, round(s, 6) AS distance, rank FROM r WHERE rank <= 5")
 def embedding_l2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.vector_neighbours(e, e.where("vec_id % 50 = 0"), 5).withColumn("distance", F.round("distance", 6))
+    return search.vector_neighbours(e, F.col("vec_id") % 50 == 0, 5).withColumn("distance", F.round("distance", 6))
 
 
 @R.add("embedding_cosine_neighbours", "WITH s AS (" + _EMB.format("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])") + "), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5")
 def embedding_cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.vector_neighbours(e, e.where("vec_id % 50 = 0"), 5, metric="cosine").withColumn("similarity", F.round("similarity", 6))
+    return search.vector_neighbours(e, F.col("vec_id") % 50 == 0, 5, metric="cosine").withColumn("similarity", F.round("similarity", 6))
 
 
 @R.add("embedding_lsh_neighbours")

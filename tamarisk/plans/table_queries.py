@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import arrays, dates, numbers, text
 from tamarisk.operators import columns, counting, lines
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import table
+from tamarisk.plans.scale import spread, table
 
 R = Registry()
 
@@ -103,7 +103,7 @@ _LINES = "l AS (SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, s
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.numbered(table(spark, d, "documents"))
+    return lines.numbered(spread(table(spark, d, "documents"), "doc_id"))
 
 
 @R.add("numbered_lines", f"WITH {_LINES} SELECT * FROM l")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions import text
 from tamarisk.operators import tfidf
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import table
+from tamarisk.plans.scale import spread, table
 
 R = Registry()
 
@@ -32,7 +32,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9
 
 def _docs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     docs = table(spark, d, "documents")
-    return docs, docs.count()
+    return spread(docs, "doc_id"), docs.count()
 
 
 @R.add("tfidf_top_bigrams", _grams_sql("2", False) + "SELECT doc_id, ngram, tf, df, round(score, 6) AS score, rank FROM top WHERE rank <= 10")
@@ -133,4 +133,4 @@ def term_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("clean_text", f"SELECT doc_id, {text.CLEAN_SQL.format('text')} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.clean("text").alias("cleaned"))
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", text.clean("text").alias("cleaned"))
