@@ -271,7 +271,7 @@ def html_blocks_to_text(x: Str) -> Column:
     c = F.regexp_replace(c, r"\s+", " ")
     c = F.regexp_replace(c, r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote|br)\b[^>]*>", "\n")
     c = unescape_basic(F.regexp_replace(c, r"<[^>]*>", ""))
-    return F.trim(F.regexp_replace(c, r" *\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(c, r" *\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def scripts(x: Str) -> Column:

