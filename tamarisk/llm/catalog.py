@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm import mapping, ngrams, packing, pii, sampling, surrogates, tokens
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import checkpoint, lookup, table
+from tamarisk.plans.scale import checkpoint, lookup, spread, table
 
 R = Registry()
 
@@ -115,19 +115,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # Problem 6
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
 @R.add("p6_ids")
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, d, "documents"))
+    return tokens.encode_corpus(_documents(spark, d))
 
 
 @R.add("p6_spans")
 def p6_spans(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_spans(tokens.encode_corpus(table(spark, d, "documents")))
+    return tokens.token_spans(tokens.encode_corpus(_documents(spark, d)))
 
 
 @R.add("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.decode_corpus(tokens.encode_corpus(table(spark, d, "documents")))
+    return tokens.decode_corpus(tokens.encode_corpus(_documents(spark, d)))
 
 
 # Problem 7
@@ -136,7 +140,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     plans = table(spark, d, "pack_plans").select("plan_id", F.col("tokenizer").alias("kind"), F.col("capacity_tokens").alias("capacity"))
     names = sorted(r.kind for r in plans.select("kind").distinct().limit(packing.MAX_PLANS).collect())
-    sizes = tokens.token_counts(table(spark, d, "documents"), names).select("doc_id", F.col("tokenizer").alias("kind"), F.col("tokens").alias("units"))
+    sizes = tokens.token_counts(_documents(spark, d), names).select("doc_id", F.col("tokenizer").alias("kind"), F.col("tokens").alias("units"))
     return packing.pack(sizes, plans), plans
 
 
@@ -155,17 +159,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_entities(table(spark, d, "documents"), table(spark, d, "person_names")).select("doc_id", "kind", "start_char")
+    return pii.find_entities(_documents(spark, d), table(spark, d, "person_names")).select("doc_id", "kind", "start_char")
 
 
 @R.add("p8_redacted")
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "documents"), table(spark, d, "person_names"))
+    return pii.redact(_documents(spark, d), table(spark, d, "person_names"))
 
 
 @R.add("p8_surrogates")
 def p8_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, d, "documents"), table(spark, d, "person_names"), "a key of the user's own")
+    return surrogates.replace_entities(_documents(spark, d), table(spark, d, "person_names"), "a key of the user's own")
 
 
 QUERIES, SQL = R.queries, R.sql
