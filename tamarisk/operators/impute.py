@@ -84,9 +84,7 @@ def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     base = checkpoint(base)
     stats = base.agg(*[F.avg(c).alias(c) for c in spec.covariates], *[F.stddev_pop(c).alias(f"sd_{c}") for c in spec.covariates], F.count(F.col("__k")).alias("labelled"), *[F.count(F.when(F.col("__k") == v, 1)).alias(f"n_{i}") for i, v in enumerate(spec.values)]).first()
     means = {c: (float(stats[c] or 0.0), float(stats[f"sd_{c}"] or 0.0) or 1.0) for c in spec.covariates}
-    out = _fixed(base, spec, means)
-    out, effects = _random_effects(out, spec)
-    out = _category(out, spec, means, int(stats["labelled"]), [int(stats[f"n_{i}"]) for i in range(len(spec.values))])
+    out, effects = _levels(_fixed(base, spec, means), spec, means, int(stats["labelled"]), [int(stats[f"n_{i}"]) for i in range(len(spec.values))])
     filled = {}
     for f, (low, high) in spec.numeric.items():
         y = F.col(f"__y_{f}")
@@ -156,66 +154,67 @@ def _fixed(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]])
     return df.withColumns(cols)
 
 
-def _random_effects(df: DataFrame, spec: FillSpec) -> tuple[DataFrame, dict[str, Column]]:
-    """Joins the shrunk effects of every level; returns the sum of the effects for each field."""
-    fields = list(spec.numeric)
-    effects = {f: F.lit(0.0) for f in fields}
+def _levels(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]], labelled: int, counts: list[int]) -> tuple[DataFrame, dict[str, Column]]:
+    """Joins, level by level, the shrunk effects of the numeric fields and the category counts; adds ``__best``, the most probable
+    category (ties: the first of ``spec.values``). Returns the sum of the effects for each numeric field.
+
+    One aggregation and one join for each level serve all fields.
+    """
+    fields, values = list(spec.numeric), spec.values
+    w = _logit(df, spec, means, labelled) if labelled else None  # before the joins, which it does not need
+    effects: dict[str, Column] = {f: F.lit(0.0) for f in fields}
+    overall = [(n + 0.5) / (labelled + 0.5 * len(values)) for n in counts]
+    prior: list[Column] = [F.lit(x) for x in overall]
+    odds = [F.lit(0.0) for _ in values]
     for level in spec.levels:
+        inner = level == "__inner"
         aggs = []
         for f in fields:
             r = F.col(f"__y_{f}") - F.col(f"__fix_{f}") - effects[f]
             aggs += [F.count(r).alias(f"n_{f}"), F.sum(r).alias(f"s_{f}"), F.sum(r * r).alias(f"q_{f}")]
-        groups = df.where(F.col(level).isNotNull()).groupBy(level).agg(*aggs)
-        groups = checkpoint(groups)
-        tot = groups.agg(*[x for f in fields for x in (F.sum(f"n_{f}").alias(f"N_{f}"), F.count(F.when(F.col(f"n_{f}") > 0, 1)).alias(f"G_{f}"), F.sum(F.col(f"n_{f}") * F.col(f"n_{f}").cast("double")).alias(f"nn_{f}"), F.sum(f"s_{f}").alias(f"S_{f}"), F.sum(f"q_{f}").alias(f"Q_{f}"), F.sum(F.when(F.col(f"n_{f}") > 0, F.col(f"s_{f}") * F.col(f"s_{f}") / F.col(f"n_{f}"))).alias(f"B_{f}"))]).first()
+        aggs += [F.count(F.when(F.col("__k") == v, 1)).alias(f"{level}_{i}") for i, v in enumerate(values)]
+        if inner:
+            aggs += [F.avg(F.when(F.col("__k").isNotNull(), p)).alias(f"{level}_p{i}") for i, p in enumerate(prior)]
+        groups = checkpoint(df.where(F.col(level).isNotNull()).groupBy(level).agg(*aggs))
+
+        # Variances between and within groups, and how well each strength predicts a record's category from the others of its group.
+        m = [F.col(f"{level}_{i}") for i in range(len(values))]
+        n = sum(m[1:], m[0])
+        base = [F.col(f"{level}_p{i}") for i in range(len(values))] if inner else [F.lit(x) for x in overall]
+        loo = [F.sum(sum((F.when(m[i] > 0, m[i] * F.log((m[i] - 1 + a * base[i]) / (n - 1 + a))).otherwise(0.0) for i in range(len(values))), F.lit(0.0))).alias(f"loo_{k}") for k, a in enumerate(STRENGTHS)]
+        sums = [x for f in fields for x in (F.sum(f"n_{f}").alias(f"N_{f}"), F.count(F.when(F.col(f"n_{f}") > 0, 1)).alias(f"G_{f}"), F.sum(F.col(f"n_{f}") * F.col(f"n_{f}").cast("double")).alias(f"nn_{f}"), F.sum(f"s_{f}").alias(f"S_{f}"), F.sum(f"q_{f}").alias(f"Q_{f}"), F.sum(F.when(F.col(f"n_{f}") > 0, F.col(f"s_{f}") * F.col(f"s_{f}") / F.col(f"n_{f}"))).alias(f"B_{f}"))]
+        tot = groups.agg(*sums, *loo).first()
         shrunk = []
         for f in fields:
-            n, g = tot[f"N_{f}"] or 0, tot[f"G_{f}"] or 0
-            ratio = None
-            if n > g > 1:
-                within = max((tot[f"Q_{f}"] - tot[f"B_{f}"]) / (n - g), 1e-12)
-                between = (tot[f"B_{f}"] - tot[f"S_{f}"] ** 2 / n - (g - 1) * within) / max(n - tot[f"nn_{f}"] / n, 1e-12)
-                ratio = within / between if between > 0 else None
+            ratio = _ratio(*(tot[f"{c}_{f}"] for c in ("N", "G", "nn", "S", "Q", "B")))
             e = F.col(f"s_{f}") / (F.col(f"n_{f}") + F.lit(float(ratio))) if ratio is not None else F.lit(0.0)
             shrunk.append(F.coalesce(e, F.lit(0.0)).alias(f"{level}_e_{f}"))
-        df = lookup(df, groups.select(level, *shrunk), [level])
+        df = lookup(df, groups.select(level, *shrunk, *[f"{level}_{i}" for i in range(len(values))]), [level])
         effects = {f: effects[f] + F.coalesce(F.col(f"{level}_e_{f}"), F.lit(0.0)) for f in fields}
-    return df, effects
-
 
-def _category(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]], labelled: int, counts: list[int]) -> DataFrame:
-    """Adds ``__best``, the most probable category (ties: the first of ``spec.values``)."""
-    values, covs = spec.values, list(spec.covariates)
-    if not labelled:
-        return df.withColumn("__best", F.lit(None).cast("string"))
-    overall = [(n + 0.5) / (labelled + 0.5 * len(values)) for n in counts]
-    w = _logit(df, spec, means, labelled)
-    z = [F.lit(1.0), *[F.coalesce((F.col(c).cast("double") - means[c][0]) / means[c][1], F.lit(0.0)) for c in covs]]
-    score = [sum((F.lit(float(w[i, j])) * zj for j, zj in enumerate(z)), F.lit(0.0)) for i in range(len(values))]
-    share = {"__period": overall, "__outer": overall}
-    prior: list[Column | float] = overall
-    for level in spec.levels:
-        src = df.where(F.col(level).isNotNull() & F.col("__k").isNotNull())
-        inner = level == "__inner"
-        groups = src.groupBy(level).agg(*[F.count(F.when(F.col("__k") == v, 1)).alias(f"{level}_{i}") for i, v in enumerate(values)], *([F.avg(prior[i]).alias(f"{level}_p{i}") for i in range(len(values))] if inner else []))
-        groups = checkpoint(groups)
-        base = [F.col(f"{level}_p{i}") if inner else F.lit(overall[i]) for i in range(len(values))]
-        n = sum((F.col(f"{level}_{i}") for i in range(1, len(values))), F.col(f"{level}_0"))
-        loo = [sum((F.when(F.col(f"{level}_{i}") > 0, F.col(f"{level}_{i}") * F.log((F.col(f"{level}_{i}") - 1 + a * base[i]) / (n - 1 + a))).otherwise(0.0) for i in range(len(values))), F.lit(0.0)) for a in STRENGTHS]
-        fit = groups.agg(*[F.sum(x).alias(f"a{k}") for k, x in enumerate(loo)]).first()
-        best = max(range(len(STRENGTHS)), key=lambda k: -float("inf") if fit[k] is None else fit[k])
-        a = STRENGTHS[best]
-        df = lookup(df, groups.select(level, *[f"{level}_{i}" for i in range(len(values))]), [level])
-        m = [F.coalesce(F.col(f"{level}_{i}"), F.lit(0)) for i in range(len(values))]
-        total = sum(m[1:], m[0])
-        p = [(m[i] + a * (prior[i] if inner else F.lit(overall[i]))) / (total + a) for i in range(len(values))]
+        a = STRENGTHS[max(range(len(STRENGTHS)), key=lambda k: -float("inf") if tot[f"loo_{k}"] is None else tot[f"loo_{k}"])]
+        own = [F.coalesce(F.col(f"{level}_{i}"), F.lit(0)) for i in range(len(values))]
+        total = sum(own[1:], own[0])
+        share = [(own[i] + a * (prior[i] if inner else F.lit(overall[i]))) / (total + a) for i in range(len(values))]
         if level == "__outer":
-            prior = p
-        share[level] = p
-    odds = [score[i] + F.log(share["__inner"][i]) - F.log(F.lit(overall[i])) + F.log(share["__period"][i]) - F.log(F.lit(overall[i])) for i in range(len(values))]
+            prior = share
+        else:
+            odds = [o + F.log(s) - F.log(F.lit(overall[i])) for i, (o, s) in enumerate(zip(odds, share))]
+    if w is None:
+        return df.withColumn("__best", F.lit(None).cast("string")), effects
+    z = [F.lit(1.0), *[F.coalesce((F.col(c).cast("double") - means[c][0]) / means[c][1], F.lit(0.0)) for c in spec.covariates]]
+    odds = [o + sum((F.lit(float(w[i, j])) * zj for j, zj in enumerate(z)), F.lit(0.0)) for i, o in enumerate(odds)]
     top = F.greatest(*odds) if len(odds) > 1 else odds[0]
-    pick = F.coalesce(*[F.when(o == top, F.lit(v)) for o, v in zip(odds, values)])
-    return df.withColumn("__best", pick)
+    return df.withColumn("__best", F.coalesce(*[F.when(o == top, F.lit(v)) for o, v in zip(odds, values)])), effects
+
+
+def _ratio(n: int | None, g: int | None, squares: float | None, total: float, square: float, between_sum: float) -> float | None:
+    """Variance within over variance between groups, by moments; None if the groups do not differ."""
+    if not n or not g or not n > g > 1:
+        return None
+    within = max((square - between_sum) / (n - g), 1e-12)
+    between = (between_sum - total**2 / n - (g - 1) * within) / max(n - squares / n, 1e-12)
+    return within / between if between > 0 else None
 
 
 def _logit(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]], labelled: int) -> np.ndarray:
