@@ -114,18 +114,26 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int
 
 
 def _sparse(q: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
-    post: dict[str, tuple[list[int], list[float]]] = {}
-    for i, (ts, ws) in enumerate(zip(q["terms"], q["weights"])):
-        for t, w in zip(ts, ws):
-            a = post.setdefault(t, ([], []))
-            a[0].append(i)
-            a[1].append(w)
-    arrays = {t: (np.array(a), np.array(b)) for t, (a, b) in post.items()}
+    """Dot products of sparse vectors: the rows' terms look up posting lists of the queries, all products are added at once."""
+    flat = lambda t: (np.repeat(np.arange(len(t)), [len(x) for x in t["terms"]]), np.concatenate([np.asarray(x, dtype=object) for x in t["terms"]] or [np.array([], dtype=object)]), np.concatenate([np.asarray(x, dtype=float) for x in t["weights"]] or [np.array([])]))
+    qi, qt, qw = flat(q)
+    code, names = pd.factorize(qt)
+    order = np.argsort(code, kind="stable")
+    qi, qw = qi[order], qw[order]
+    ends = np.cumsum(np.bincount(code, minlength=len(names)))
+    starts = np.concatenate([[0], ends[:-1]]).astype(int)
+    index = pd.Index(names)
     out = np.zeros((len(q), len(f)))
-    for j, (ts, ws) in enumerate(zip(f["terms"], f["weights"])):
-        for t, w in zip(ts, ws):
-            if (p := arrays.get(t)) is not None:
-                out[p[0], j] += p[1] * w
+    for at in range(0, len(f), 500):
+        part = f.iloc[at : at + 500]
+        fi, ft, fw = flat(part)
+        where = index.get_indexer(ft)
+        fi, fw, where = fi[where >= 0], fw[where >= 0], where[where >= 0]
+        n = ends[where] - starts[where]
+        row = np.repeat(np.arange(len(where)), n)
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[where], n)
+        cell = qi[post] * len(part) + fi[row]
+        out[:, at : at + 500] = np.bincount(cell, qw[post] * fw[row], len(q) * len(part)).reshape(len(q), len(part))
     return np.where(out > 0, out, np.nan)
 
 

@@ -67,7 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = os.path.join(tempfile.gettempdir(), f"tamarisk-{os.getuid()}")
     os.makedirs(at, exist_ok=True)
