@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tamarisk.plans.scale import ship
+
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """Session in UTC with adaptive execution; ``conf`` takes further settings with ``__`` for dots."""
@@ -14,4 +16,6 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
