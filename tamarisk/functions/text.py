@@ -327,3 +327,19 @@ CLEAN_SQL = r"""replace(regexp_replace(lower(regexp_replace(translate(
   replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^<]+?>', ' ', 'g'), '\n', chr(10)), '\t', chr(9)),
     '&#39;', ''''), '&nbsp;', ' '), '&#x27;', ''''), '&quot;', '"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '“”‘’', '""'''''),
   '[ \t\r\n]+-[ \t\r\n]*|[ \t\r\n]*-[ \t\r\n]+', '; ', 'g')), '[ \t\r\n]+', ' ', 'g'), '&', ' ')"""
+
+
+def without_stop_words(x: Str, stop: list[str], lower: bool = True) -> Column:
+    """The words between single blanks that are no stop words."""
+    c = F.lower(_c(x)) if lower else _c(x)
+    return F.array_join(F.filter(F.split(c, " "), lambda w: ~w.isin(*stop)), " ")
+
+
+def hex_dump(x: Str) -> Column:
+    """The bytes of the text in UTF-8 as pairs of hexadecimal digits with blanks between."""
+    return F.trim(F.regexp_replace(F.hex(F.encode(_c(x), "UTF-8")), "(..)", "$1 "))
+
+
+def without_prefix(x: Str, prefix: str) -> Column:
+    """The text without a prefix, such as that of a temporary folder in a path."""
+    return F.when(F.startswith(_c(x), F.lit(prefix)), F.substring(_c(x), F.lit(len(prefix) + 1), F.length(_c(x)))).otherwise(_c(x))

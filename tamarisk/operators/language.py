@@ -164,3 +164,15 @@ def score_sentences(sents: DataFrame, model: DataFrame, key: Sequence[str], text
     b1, b2 = F.coalesce("b1", F.lit(0.0)), F.coalesce("b2", F.lit(0.0))
     lp = F.coalesce(F.col("p3"), F.col("p2") + b2, F.col("p1") + b1 + b2, F.lit(floor))
     return out.groupBy(*key).agg(F.sum(lp).alias("logprob"), F.count(F.lit(1)).alias("tokens"), F.count(F.when(F.col("p1").isNull(), 1)).alias("unknown")).withColumn("per_token", F.col("logprob") / F.col("tokens"))
+
+
+def to_arpa(model: DataFrame) -> DataFrame:
+    """(n, line): the n-gram lines of an ARPA file, back-off only where it is not zero."""
+    line = F.concat_ws("\t", F.format_string("%.6f", "logprob"), "ngram", F.when(F.col("backoff") != 0, F.format_string("%.6f", "backoff")))
+    return model.select("n", line.alias("line"))
+
+
+def from_arpa(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(n, ngram, logprob, backoff) of the n-gram lines of an ARPA file; other lines are skipped."""
+    p = lines.select(F.split(line, "\t").alias("p")).where(F.size("p").between(2, 3) & F.col("p")[0].rlike(r"^-?[0-9.]+$"))
+    return p.select(F.size(F.split(F.col("p")[1], " ")).alias("n"), F.col("p")[1].alias("ngram"), F.col("p")[0].cast("double").alias("logprob"), F.coalesce(F.try_element_at("p", F.lit(3)).cast("double"), F.lit(0.0)).alias("backoff"))

@@ -118,3 +118,9 @@ def linear_fit(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     s = m.summary
     rows = list(zip([*xs, "(intercept)"], [*m.coefficients.toArray().tolist(), m.intercept], s.coefficientStandardErrors, s.tValues, s.pValues))
     return df.sparkSession.createDataFrame([(n, float(a), float(b), float(c), float(d)) for n, a, b, c, d in rows], "term string, estimate double, std_error double, t_value double, p_value double")
+
+
+def ablation(df: DataFrame, columns: Sequence[str], label: str, classifier: str = "lr") -> DataFrame:
+    """Held-out accuracy with the first column, the first two, and so on: (columns, accuracy)."""
+    rows = [(", ".join(columns[: k + 1]), float(hold_out(features(df, columns[: k + 1], label), classifier))) for k in range(len(columns))]
+    return df.sparkSession.createDataFrame(rows, "columns string, accuracy double")

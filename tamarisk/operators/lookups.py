@@ -89,3 +89,23 @@ def latest_before(df: DataFrame, other: DataFrame, key: str, ts: str, value: str
     merged = a.unionByName(b, allowMissingColumns=True)
     filled = merged.withColumn(f"latest_{value}", F.expr(f"last_value(__v) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY `{ts}`, __side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
     return filled.where("__side = 1").drop("__side", "__v")
+
+
+def pairs_table(lines: DataFrame, line: str = "line", order: str = "line_no", use_line: bool = False) -> DataFrame:
+    """(key, value) of lines with exactly one tab, keys in lower case, the last line of a key winning; ``use_line``: a line without a
+    tab has its number as key."""
+    p = lines.select(F.col(order).alias("__o"), F.split(line, "\t").alias("p"))
+    key = F.when(F.size("p") == 2, F.lower(F.col("p")[0])).when(F.lit(use_line) & (F.size("p") == 1), F.col("__o").cast("string"))
+    rows = p.select("__o", key.alias("key"), F.element_at("p", -1).alias("value")).where("key IS NOT NULL")
+    return rows.groupBy("key").agg(F.max_by("value", "__o").alias("value"))
+
+
+def relabel(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``column`` as its value in (key, value), unchanged where the table lacks it."""
+    t = table.select(F.col("key").alias(column), F.col("value").alias("__v"))
+    return lookup(df, t, [column]).withColumn(column, F.coalesce("__v", column)).drop("__v").select(*df.columns)
+
+
+def missing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` that ``b`` lacks, repeated rows counted: empty iff a conversion kept everything."""
+    return a.select(*b.columns).exceptAll(b)

@@ -123,3 +123,42 @@ def test_summaries(lines: DataFrame, key: str = "doc_id", combine: bool = False,
     if treat_x:
         total, ok = total + F.col("xfailed") + F.col("xpassed"), ok + F.col("xpassed")
     return g.withColumn("total", total).withColumn("ok_pct", F.when(total > 0, F.least(ok * 100.0 / total, F.lit(100.0))).otherwise(0.0))
+
+
+# Small reports
+
+
+def colour_names(df: DataFrame, column: str, palette: DataFrame) -> DataFrame:
+    """``column`` with the name of the nearest palette colour (name, hex) after each ``#rrggbb``: ``#ff0000 [red]``.
+
+    The codes are looked up in the palette, of checked size, which the expression holds.
+    """
+    from tamarisk.functions import numbers
+    from tamarisk.operators.lookups import MAX_PALETTE
+    from tamarisk.plans.scale import fits
+
+    if not fits(palette, MAX_PALETTE):
+        raise ValueError(f"more than {MAX_PALETTE} colours")
+    rows = palette.select("name", numbers.rgb("hex").alias("c")).where("c IS NOT NULL").collect()
+    colours = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["c"]["r"]).alias("r"), F.lit(r["c"]["g"]).alias("g"), F.lit(r["c"]["b"]).alias("b")) for r in rows])
+    square = lambda a, b: (a - b) * (a - b)
+
+    def named(code: Column) -> Column:
+        c = numbers.rgb(code)
+        return F.array_min(F.transform(colours, lambda p: F.struct((square(p["r"], c["r"]) + square(p["g"], c["g"]) + square(p["b"], c["b"])).alias("d"), p["name"].alias("name"))))["name"]
+
+    codes = F.array_distinct(F.regexp_extract_all(column, F.lit("#[0-9a-fA-F]{6}"), F.lit(0)))
+    return df.withColumn(column, F.aggregate(codes, F.col(column), lambda a, code: F.replace(a, code, F.concat(code, F.lit(" ["), named(code), F.lit("]")))))
+
+
+def example_tests(lines: DataFrame) -> DataFrame:
+    """Lines ``# EX: expression => value`` as (line_no, expression, expected)."""
+    p = r"#\s*EX:\s*(.*?)\s*=>\s*(.*?)\s*$"
+    return lines.where(F.col("line").rlike(p)).select("line_no", F.regexp_extract("line", p, 1).alias("expression"), F.regexp_extract("line", p, 2).alias("expected"))
+
+
+def dependencies(reports_: DataFrame, column: str = "json") -> DataFrame:
+    """(name, requires) of an installation report in JSON: one row for each required package, null for none."""
+    schema = "install array<struct<metadata: struct<name: string, requires_dist: array<string>>>>"
+    items = reports_.select(F.explode(F.from_json(column, schema)["install"]["metadata"]).alias("m"))
+    return items.select("m.name", F.explode_outer("m.requires_dist").alias("requires"))

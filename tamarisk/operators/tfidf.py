@@ -176,3 +176,26 @@ def positions(docs: DataFrame, term: str, key: str = "doc_id", column: str = "te
     rows = docs.select(key, parts.alias("p"), F.posexplode(found).alias("i", "original"))
     before = F.aggregate(F.slice("p", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.col("i") * len(term)
     return rows.select(key, before.alias("start"), (before + F.length("original")).alias("end"), "original")
+
+
+def documents_of(rows: DataFrame, key: str, text: str, order: list[str]) -> DataFrame:
+    """(doc_id, text): the texts of each key joined by a blank in the given order. A document is one value, so it must fit in a task."""
+    parts = rows.where(F.col(text).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t")))).alias("p"))
+    return parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["__t"]), " ").alias("text"))
+
+
+def term_matrix(tf: DataFrame, terms: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """One row for each document with any n-gram, one column with the count of each listed term."""
+    return tf.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("ngram") == t, F.col("tf"))), F.lit(0)).alias(t) for t in terms])
+
+
+def random_term(top: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
+    """One of the ranked terms of each document, chosen by a hash of seed, document and term."""
+    return top.groupBy(key).agg(F.min_by("ngram", F.xxhash64(F.lit(seed), F.col(key), F.col("ngram"))).alias("ngram"))
+
+
+def score_of(tf: DataFrame, n: int, term: str, key: str = "doc_id") -> DataFrame:
+    """``key`` and the tf-idf of one term in the documents that hold it; only the rows of the term are shuffled."""
+    rows = tf.where(F.col("ngram") == term)
+    df = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.select(key, (tf_weight("basic") * F.log(F.lit(float(n)) / df)).alias("score"))

@@ -113,6 +113,12 @@ def column_importance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in learning.importances(learning.features(t, cols, "class"), cols)], "field string, importance double")
 
 
+@R.add("iris_ablation")
+def iris_ablation(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "iris").withColumn("class", F.nullif(F.lower(F.trim("class")), F.lit(""))).select("obs_id", *_NUM, "class").distinct()
+    return learning.ablation(t, _NUM, "class")
+
+
 @R.add("related_words")
 def related_words(spark: SparkSession, d: str) -> DataFrame:
     return learning.word_vectors(table(spark, d, "documents"), size=32).findSynonyms("museum", 10)

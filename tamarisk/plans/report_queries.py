@@ -170,11 +170,23 @@ def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
     return language.score_sentences(s, model, ["id"])
 
 
-_TOP = "tfidf_top_bigrams"
-
-
 @R.add("keyword_sets")
 def keyword_sets(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents"), "doc_id")
     top = tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3)
     return counting.keyword_stats(top)[1]
+
+
+@R.add("keyword_summary")
+def keyword_summary(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    return counting.keyword_stats(tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3))[0]
+
+
+@R.add("arpa_lines", f"""WITH {_LM}, h AS (SELECT *, CASE WHEN n > 1 THEN regexp_replace(ngram, ' [^ ]+$', '') ELSE '' END AS history FROM cnt),
+t AS (SELECT n, history, sum(c) AS total, count(*) AS types FROM h WHERE ngram <> '<s>' OR n > 1 GROUP BY n, history)
+SELECT h.n, count(*) AS lines FROM h JOIN t USING (n, history) GROUP BY h.n""")
+def arpa_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each order that a round trip through ARPA text keeps."""
+    model = language.language_model(language.ngram_counts(_sentences(spark, d)))
+    return language.from_arpa(language.to_arpa(model)).groupBy("n").agg(F.count(F.lit(1)).alias("lines"))

@@ -234,3 +234,20 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
 def resolved_terms(spark: SparkSession, d: str) -> DataFrame:
     idx = _index(spark, d)
     return lookup(idx.where("tf >= 10"), columns.ids_by_name(idx, "term"), ["term"], "inner").select("doc_id", "id", "term", "tf")
+
+
+@R.add("relabelled", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' END, o_orderstatus) AS o_orderstatus FROM orders")
+def relabelled(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([("O", "open"), ("F", "filled")], "key string, value string")
+    return lookups.relabel(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), t, "o_orderstatus")
+
+
+@R.add("pairs_table", "SELECT lower(split_part(text, chr(9), 1)) AS key, arg_max(split_part(text, chr(9), 2), line_id) AS value FROM raw_lines WHERE len(string_split(text, chr(9))) = 2 GROUP BY 1")
+def pairs_table(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.pairs_table(table(spark, d, "raw_lines"), "text", "line_id")
+
+
+@R.add("orders_without_items", "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+def orders_without_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return lookups.missing_rows(table(spark, d, "orders").select("o_orderkey"), items)

@@ -357,3 +357,8 @@ def date_functions(spark: SparkSession, d: str) -> DataFrame:
 def rgb_values(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "documents").select(F.explode(counting.matches("text", r"\b[0-9a-f]{6}\b")).alias("hex")).distinct()
     return h.select("hex", numbers.rgb("hex").alias("c")).select("hex", "c.*")
+
+
+@R.add("hex_dumps", "SELECT n_name, trim(regexp_replace(hex(encode(n_name)), '(..)', '\\1 ', 'g')) AS dump, CASE WHEN starts_with(n_name, 'NATION') THEN substr(n_name, 7) ELSE n_name END AS rest FROM nation")
+def hex_dumps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_name", text.hex_dump("n_name").alias("dump"), text.without_prefix("n_name", "NATION").alias("rest"))

@@ -134,3 +134,33 @@ def term_positions(spark: SparkSession, d: str) -> DataFrame:
 @R.add("clean_text", f"SELECT doc_id, {text.CLEAN_SQL.format('text')} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents"), "doc_id").select("doc_id", text.clean("text").alias("cleaned"))
+
+
+@R.add("term_matrix", _grams_sql("1", False) + "SELECT doc_id, coalesce(sum(tf) FILTER (ngram = 'museum'), 0)::BIGINT AS museum, coalesce(sum(tf) FILTER (ngram = 'bridge'), 0)::BIGINT AS bridge FROM tf GROUP BY doc_id")
+def term_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tfidf.term_matrix(tfidf.frequencies(_docs(spark, d)[0]), ["museum", "bridge"])
+
+
+@R.add("score_of_term", _grams_sql("1", False) + "SELECT doc_id, round(score, 6) AS score FROM s WHERE ngram = 'museum'")
+def score_of_term(spark: SparkSession, d: str) -> DataFrame:
+    docs, n = _docs(spark, d)
+    return tfidf.score_of(tfidf.frequencies(docs), n, "museum").withColumn("score", F.round("score", 6))
+
+
+@R.add("documents_of_files", "SELECT file_name AS doc_id, string_agg(text, ' ' ORDER BY line_no, line_id) AS text FROM raw_lines GROUP BY file_name")
+def documents_of_files(spark: SparkSession, d: str) -> DataFrame:
+    return tfidf.documents_of(table(spark, d, "raw_lines"), "file_name", "text", ["line_no", "line_id"])
+
+
+@R.add("random_terms")
+def random_terms(spark: SparkSession, d: str) -> DataFrame:
+    docs, n = _docs(spark, d)
+    return tfidf.random_term(tfidf.top_terms(tfidf.frequencies(docs), n, 100))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS)
+
+
+@R.add("without_stop_words", f"SELECT id, array_to_string(list_filter(string_split(lower(text), ' '), lambda w: w NOT IN ({_STOPS})), ' ') AS text FROM snippets WHERE text IS NOT NULL")
+def without_stop_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "snippets").where("text IS NOT NULL").select("id", text.without_stop_words("text", list(tfidf.STOP_WORDS)).alias("text"))

@@ -321,3 +321,31 @@ def test_read_lines_and_records(spark, tmp_path):
 def test_xml_values(spark):
     t = spark.createDataFrame([("<r><a>1</a><a>2</a></r>",)], "x string")
     assert tabular.xml_values(t, "x", {"a": "r/a/text()"}).first().a == ["1", "2"]
+
+
+# Small reports
+
+
+def test_small_reports(spark):
+    pal = spark.createDataFrame([("red", "ff0000"), ("blue", "00f")], "name string, hex string")
+    t = spark.createDataFrame([("a #fe0101 and #0000ee",), ("none",), (None,)], "x string")
+    assert [r.x for r in reports.colour_names(t, "x", pal).collect()] == ["a #fe0101 [red] and #0000ee [blue]", "none", None]
+    ls = spark.createDataFrame([(1, "    # EX: f(1) => 2 "), (2, "x")], "line_no int, line string")
+    assert [tuple(r) for r in reports.example_tests(ls).collect()] == [(1, "f(1)", "2")]
+    j = spark.createDataFrame([('{"install": [{"metadata": {"name": "a", "requires_dist": ["b", "c"]}}, {"metadata": {"name": "b"}}]}',)], "json string")
+    assert sorted(map(str, (tuple(r) for r in reports.dependencies(j).collect()))) == sorted(map(str, [("a", "b"), ("a", "c"), ("b", None)]))
+
+
+def test_pairs_and_fidelity(spark):
+    ls = spark.createDataFrame([(1, "K\tv"), (2, "only"), (3, "a\tb\tc"), (4, "k\tw")], "line_no int, line string")
+    assert {r.key: r.value for r in lookups.pairs_table(ls, use_line=True).collect()} == {"k": "w", "2": "only"}
+    assert lookups.missing_rows(ls, ls).count() == 0 and lookups.missing_rows(ls.union(ls), ls).count() == 4
+
+
+def test_cross_validation(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(v + k * 3), float(rng.standard_normal()), "ab"[k]) for k in (0, 1) for v in rng.standard_normal(60)]
+    data = learning.features(spark.createDataFrame(rows, "p double, q double, c string"), ["p", "q"], "c")
+    mean, sd, best = learning.cross_validated(data, "tree", 3, {"maxDepth": [1, 2]})
+    assert mean > 0.85 and sd >= 0 and best["maxDepth"] in (1, 2)
+    assert learning.importances(data, ["p", "q"])[0][0] == "p"
