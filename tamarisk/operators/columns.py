@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions import text
+from tamarisk.plans.scale import PART, PREV, ordered_parts, with_offsets, with_previous
 
 
 def parse_fields(spec: str, columns: Sequence[str]) -> list[int]:
@@ -82,9 +83,7 @@ def unpivot_fields(df: DataFrame, key: str, elide: bool = False, mark: str = "."
     fields = [c for c in df.columns if c != key]
     cells = F.array(*[F.struct(F.lit(i + 1).alias("field_no"), F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(fields)])
     out = df.select(key, F.inline(cells))
-    if elide:
-        out = out.withColumn("value", F.expr(f"CASE WHEN lag(value) OVER (PARTITION BY field ORDER BY `{key}`) <=> value AND row_number() OVER (PARTITION BY field ORDER BY `{key}`) > 1 THEN '{mark}' ELSE value END"))
-    return out
+    return elide_repeats(out, "value", "field", [key], mark) if elide else out
 
 
 def transpose(df: DataFrame, key: str, missing: str = "n/a") -> DataFrame:
@@ -96,9 +95,9 @@ def transpose(df: DataFrame, key: str, missing: str = "n/a") -> DataFrame:
 
 def elide_repeats(df: DataFrame, column: str, group: str, order: Sequence[str], mark: str = ".") -> DataFrame:
     """``column`` with ``mark`` where it repeats the row before it within ``group``."""
-    prev = f"lag(`{column}`) OVER (PARTITION BY `{group}` ORDER BY {', '.join(order)})"
-    first = f"row_number() OVER (PARTITION BY `{group}` ORDER BY {', '.join(order)}) = 1"
-    return df.withColumn(column, F.expr(f"CASE WHEN NOT ({first}) AND {prev} <=> `{column}` THEN '{mark}' ELSE `{column}` END"))
+    rows = with_previous(df, group, list(order), [column])
+    repeats = F.col(PREV).isNotNull() & F.col(PREV)[column].eqNullSafe(F.col(column))
+    return rows.select(*[F.when(repeats, mark).otherwise(F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def class_last(df: DataFrame, label: str, ignore: Sequence[str] = ()) -> DataFrame:
@@ -117,15 +116,21 @@ def first_value(df: DataFrame, wanted: str, key: str, order: str) -> DataFrame:
 
 
 def ids_by_appearance(df: DataFrame, label: str, order: str) -> DataFrame:
-    """(label, id): ids from 0 in order of first appearance. The labels, not the rows, are sorted."""
+    """(label, id): ids from 0 in order of first appearance; nulls have none."""
     first = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("__first"))
-    return first.select(label, (F.expr(f"row_number() OVER (ORDER BY __first, `{label}`)") - 1).alias("id"))
+    return _ids(first, label, "__first", label)
 
 
 def ids_by_name(df: DataFrame, label: str) -> DataFrame:
-    """(label, id): ids from 0 in alphabetical order."""
-    names = df.where(F.col(label).isNotNull()).select(label).distinct()
-    return names.select(label, (F.expr(f"row_number() OVER (ORDER BY `{label}`)") - 1).alias("id"))
+    """(label, id): ids from 0 in alphabetical order; nulls have none."""
+    return _ids(df.where(F.col(label).isNotNull()).select(label).distinct(), label, label)
+
+
+def _ids(labels: DataFrame, label: str, *order: str) -> DataFrame:
+    """Ranges of labels are numbered each by one task and shifted by the labels before them, so no task sorts them all."""
+    parts = with_offsets(ordered_parts(labels, *order), __before="1")
+    row = F.expr(f"row_number() OVER (PARTITION BY {PART} ORDER BY {', '.join(f'`{c}`' for c in order)})")
+    return parts.select(label, (F.col("__before") + row - 1).alias("id"))
 
 
 def one_hot(df: DataFrame, label: str, values: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.plans.scale import PART, ordered_parts, with_offsets
+
 
 def confusion(df: DataFrame, actual: str, predicted: str, values: Sequence[str]) -> DataFrame:
     """One row for each actual value with a column ``pred_<value>`` for each predicted one."""
@@ -35,19 +37,23 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def curve(df: DataFrame, actual: Column, score: Column) -> DataFrame:
-    """threshold, tp, fp, precision, recall at every distinct score, from the highest down.
+    """threshold, tp, fp, precision, recall at every distinct score.
 
-    Rows are counted by score first, so the cumulative sum runs over the distinct scores only.
+    Rows are counted by score first; the running sums go over ranges of scores, each taking on the sums of those before it.
     """
-    by = df.select(actual.cast("int").alias("a"), score.alias("threshold")).where("a IS NOT NULL AND threshold IS NOT NULL").groupBy("threshold").agg(F.sum("a").alias("p"), F.count(F.lit(1)).alias("n"))
-    run = by.withColumns({"tp": F.expr("sum(p) OVER (ORDER BY threshold DESC)"), "shown": F.expr("sum(n) OVER (ORDER BY threshold DESC)"), "all": F.expr("sum(p) OVER ()")})
-    return run.select("threshold", "tp", (F.col("shown") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("shown")).alias("precision"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).otherwise(0.0).alias("recall"))
+    by = df.select(actual.cast("int").alias("a"), (-score).alias("neg")).where("a IS NOT NULL AND neg IS NOT NULL").groupBy("neg").agg(F.sum("a").alias("p"), F.count(F.lit(1)).alias("n"))
+    parts = with_offsets(ordered_parts(by, "neg"), p0="p", n0="n")
+    over = f"OVER (PARTITION BY {PART} ORDER BY neg)"
+    run = parts.withColumns({"tp": F.expr(f"p0 + sum(p) {over}"), "shown": F.expr(f"n0 + sum(n) {over}")})
+    all_ = parts.agg(F.sum("p")).scalar()
+    return run.select((-F.col("neg")).alias("threshold"), "tp", (F.col("shown") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("shown")).alias("precision"), F.when(all_ > 0, F.col("tp") / all_).otherwise(0.0).alias("recall"))
 
 
 def roc_auc(df: DataFrame, actual: Column, score: Column) -> DataFrame:
     """One row (auc): the chance that a positive scores above a negative, ties half; null without both."""
     by = df.select(actual.cast("int").alias("a"), score.alias("s")).where("a IS NOT NULL AND s IS NOT NULL").groupBy("s").agg(F.sum("a").alias("p"), F.count(F.lit(1)).alias("n"))
-    q = by.withColumn("below", F.expr("sum(n - p) OVER (ORDER BY s) - (n - p)"))
+    parts = with_offsets(ordered_parts(by, "s"), q0="n - p")
+    q = parts.withColumn("below", F.expr(f"q0 + sum(n - p) OVER (PARTITION BY {PART} ORDER BY s) - (n - p)"))
     won = F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     return q.agg((won / F.nullif(F.sum("p") * F.sum(F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
 

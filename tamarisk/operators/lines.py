@@ -1,4 +1,4 @@
-"""Operators on ordered lines of documents. All windows run within one document (file), never over the whole table."""
+"""Operators on ordered lines of documents. Windows run within one document (file) or one range of rows, never over the whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions import dates
+from tamarisk.plans.scale import PREV, with_previous
 
 
 def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,8 +77,9 @@ def snipped(lines: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame
 
 def time_deltas(df: DataFrame, group: str, ts: str, tie: str) -> DataFrame:
     """Adds delta_us, the microseconds since the row before it in its group; 0 for the first, null without a time."""
-    prev = f"lag(`{ts}`) OVER (PARTITION BY `{group}`, `{ts}` IS NULL ORDER BY `{ts}`, `{tie}`)"
-    return df.withColumn("delta_us", F.expr(f"CASE WHEN `{ts}` IS NOT NULL THEN coalesce(timestampdiff(MICROSECOND, {prev}, `{ts}`), 0) END"))
+    rows = with_previous(df.where(F.col(ts).isNotNull()), group, [ts, tie], [ts])
+    timed = rows.withColumn("delta_us", F.expr(f"coalesce(timestampdiff(MICROSECOND, {PREV}.`{ts}`, `{ts}`), 0L)")).drop(PREV)
+    return timed.unionByName(df.where(F.col(ts).isNull()).withColumn("delta_us", F.lit(None).cast("bigint")))
 
 
 #: A time in a log line.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions import numbers
-from tamarisk.plans.scale import fits, lookup, written
+from tamarisk.plans.scale import PART, fits, lookup, ordered_parts, written
 
 
 def lookup_table(lines: DataFrame, line: str = "line", order: str = "line_no", sep: str = "\t", retain_case: bool = False, comments: bool = False) -> DataFrame:
@@ -82,13 +82,23 @@ def nearest_colour(df: DataFrame, palette: DataFrame, hex_column: str) -> DataFr
 def latest_before(df: DataFrame, other: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """As-of lookup: adds the ``value`` of the latest row of ``other`` (key, ts, value) at or before each row of ``df`` (key, ts).
 
-    Both sides are merged into one stream per key and the last value is carried forward: one shuffle, no range join.
+    Both sides are merged into one order of (key, ts), cut into ranges, and the last value is carried forward within each; a range
+    that starts amid a key takes on what the ranges before it carry. No range join, and a hot key is spread over tasks. Of
+    rows of ``other`` with the same key and time the largest value counts; rows of ``df`` with a null key or time find nothing.
     """
-    a = df.withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(dict(other.dtypes)[value])})
-    b = other.select(key, ts, F.col(value).alias("__v")).withColumn("__side", F.lit(0))
-    merged = a.unionByName(b, allowMissingColumns=True)
-    filled = merged.withColumn(f"latest_{value}", F.expr(f"last_value(__v) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY `{ts}`, __side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    return filled.where("__side = 1").drop("__side", "__v")
+    kind = dict(other.dtypes)[value]
+    found = other.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).groupBy(key, ts).agg(F.max(value).alias("__v"))
+    able = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    a = df.where(able).withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(kind)})
+    parts = ordered_parts(a.unionByName(found.withColumn("__side", F.lit(0)), allowMissingColumns=True), key, ts, "__side")
+    over = f"PARTITION BY {PART}, `{key}` ORDER BY `{ts}`, __side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    filled = parts.withColumn("__w", F.expr(f"last_value(__v) IGNORE NULLS OVER ({over})"))
+    # What each part passes on for its last key, and what it takes on for its first: as many rows as there are parts.
+    ends = parts.groupBy(PART).agg(F.min(key).alias("__first"), F.max(key).alias("__last"), F.max(F.when(F.col("__v").isNotNull(), F.struct(key, ts, "__v"))).alias("__m"))
+    carry = ends.select(F.col(PART).alias("__from"), F.col("__last").alias(key), F.when(F.col("__m")[key] == F.col("__last"), F.col("__m")["__v"]).alias("__c")).where("__c IS NOT NULL")
+    takes = ends.select(PART, F.col("__first").alias(key)).join(carry, key).where(f"__from < {PART}").groupBy(PART, key).agg(F.max_by("__c", "__from").alias("__c"))
+    joined = filled.where("__side = 1").join(F.broadcast(takes), [PART, key], "left").withColumn(f"latest_{value}", F.coalesce("__w", "__c"))
+    return joined.select(*df.columns, f"latest_{value}").unionByName(df.where(~able).withColumn(f"latest_{value}", F.lit(None).cast(kind)))
 
 
 def pairs_table(lines: DataFrame, line: str = "line", order: str = "line_no", use_line: bool = False) -> DataFrame:

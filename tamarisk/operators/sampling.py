@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.plans.scale import first_share
+
 
 def bernoulli(df: DataFrame, ratio: float = 0.1, seed: int = 17, header: str | None = None) -> DataFrame:
     """Each row with a chance of ``ratio``; ``header``: a condition whose rows always stay."""
@@ -23,8 +25,8 @@ def by_digest(df: DataFrame, key: str, ratio: float) -> DataFrame:
 
 
 def shuffled(df: DataFrame, seed: int = 17, percent: float | None = None) -> DataFrame:
-    """All rows in random order, or the first ``percent`` of them: a range-partitioned sort on a random key."""
-    out = df.withColumn("__r", F.rand(seed)).orderBy("__r")
+    """All rows in random order, or exactly the first ``percent`` of them: a range-partitioned sort on a random key."""
+    out = df.withColumn("__r", F.rand(seed))
     if percent is not None:
-        out = out.limit(round(percent / 100 * df.count()))
-    return out.drop("__r")
+        out = first_share(out, "__r", round(percent / 100 * df.count()))
+    return out.orderBy("__r").drop("__r")

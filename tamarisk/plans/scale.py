@@ -118,3 +118,50 @@ def written(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+PART = "__part"
+
+
+def ordered_parts(df: DataFrame, *order: str) -> DataFrame:
+    """The rows in ranges of an order, with the number of their range in ``__part``, kept in a checkpoint so that it stays theirs.
+
+    Windows over one part at a time, joined by what the parts pass on (a row for each part), replace a window over all rows or
+    over a hot group: a group with a third of all rows is cut into as many ranges as it needs.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id())
+    return checkpoint(parts)
+
+
+def with_offsets(parts: DataFrame, **sums: str) -> DataFrame:
+    """Adds, for each name, the sum of an expression over all earlier parts (0 for the first)."""
+    totals = parts.groupBy(PART).agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()])
+    before = totals.select(PART, *[F.coalesce(F.expr(f"sum({n}) OVER (ORDER BY {PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)).alias(n) for n in sums])
+    return parts.join(F.broadcast(before), PART)  # a row for each part, as many as there are shuffle partitions
+
+
+PREV = "__prev"
+
+
+def with_previous(df: DataFrame, group: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds ``__prev``, the ``columns`` of the row before in its group as a struct, null for the first of a group.
+
+    Each range looks within itself and at the last row of the range before it, so a hot group is spread over tasks. ``order``
+    should tell the rows of a group apart. Null groups are one group.
+    """
+    parts = ordered_parts(df, group, *order)
+    row = [group, *(c for c in order if c != group), *(c for c in columns if c not in order and c != group)]
+    last = parts.groupBy(PART).agg(F.max(F.struct(*row)).alias("__l"))
+    before = last.select(PART, F.expr(f"lag(__l) OVER (ORDER BY {PART})").alias("__b"))
+    keys = ", ".join(f"`{c}`" for c in [group, *order])
+    own = F.expr(f"lag(struct({', '.join(f'`{c}`' for c in row)})) OVER (PARTITION BY {PART} ORDER BY {keys})")
+    rows = parts.join(F.broadcast(before), PART).withColumn("__p", F.coalesce(own, "__b"))  # a row for each part
+    same = F.col("__p").isNotNull() & F.col("__p")[group].eqNullSafe(F.col(group))
+    return rows.withColumn(PREV, F.when(same, F.struct(*[F.col("__p")[c].alias(c) for c in columns]))).drop(PART, "__b", "__p")
+
+
+def first_share(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """The first ``rows`` rows in the order of a column, exactly, without gathering them in one task."""
+    parts = with_offsets(ordered_parts(df, order), __before="1")
+    at = F.col("__before") + F.expr(f"row_number() OVER (PARTITION BY {PART} ORDER BY `{order}`)")
+    return parts.withColumn("__at", at).where(F.col("__at") <= rows).drop(PART, "__before", "__at")

@@ -349,3 +349,41 @@ def test_cross_validation(spark):
     mean, sd, best = learning.cross_validated(data, "tree", 3, {"maxDepth": [1, 2]})
     assert mean > 0.85 and sd >= 0 and best["maxDepth"] in (1, 2)
     assert learning.importances(data, ["p", "q"])[0][0] == "p"
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Ranges that are not put together again, so that rows pass on values from one to the next."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_pass_values_on(spark, many_parts):
+    random.seed(9)
+    rows = [(random.choice([1, 1, 1, 1, 2, 3, None]), random.choice([None, *range(40)]), i) for i in range(300)]
+    t = spark.createDataFrame(rows, "k int, s int, i int").selectExpr("k", "timestamp_micros(s * 7L) AS ts", "i", "s")
+    got = {r.i: r.delta_us for r in lines.time_deltas(t, "k", "ts", "i").collect()}
+    want, last = {}, {}
+    for k, s, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        want[i] = (s - last[k]) * 7 if k in last else 0
+        last[k] = s
+    assert got == want | {i: None for _, s, i in rows if s is None}
+
+    b = [(random.choice([1, 1, 1, 2, None]), random.choice([None, *range(0, 40, 3)]), random.choice([None, *"abcdefg"])) for _ in range(60)]
+    got = {r.i: r.latest_v for r in lookups.latest_before(t.select("k", "s", "i"), spark.createDataFrame(b, "k int, s int, v string"), "k", "s", "v").collect()}
+    for k, s, i in rows:
+        known = [(x[1], x[2]) for x in b if None not in x and x[0] == k and s is not None and x[1] <= s]
+        assert got[i] == (max(known)[1] if known else None)
+    assert len(got) == 300
+
+
+def test_ranges_number_labels_and_add_up(spark, many_parts):
+    t = spark.createDataFrame([(f"w{i % 90:02d}", i, i % 3 == 0, (i * 7) % 50 / 10) for i in range(200)], "l string, i int, a boolean, s double")
+    assert {r.l: r.id for r in columns.ids_by_name(t, "l").collect()} == {f"w{i:02d}": i for i in range(90)}
+    assert {r.l: r.id for r in columns.ids_by_appearance(t, "l", "i").collect()} == {f"w{i:02d}": i for i in range(90)}
+    rows = [(r.a, r.s) for r in t.collect()]
+    for r in evaluation.curve(t, F.col("a"), F.col("s")).collect():
+        assert (r.tp, r.fp) == (sum(a and s >= r.threshold for a, s in rows), sum((not a) and s >= r.threshold for a, s in rows))
+    pos, neg = [s for a, s in rows if a], [s for a, s in rows if not a]
+    assert evaluation.roc_auc(t, F.col("a"), F.col("s")).first().auc == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
