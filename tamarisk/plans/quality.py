@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarisk.operators import impute
 from tamarisk.plans.registry import Registry
@@ -86,3 +87,17 @@ SELECT line_id, reason FROM (SELECT * FROM snip UNION ALL SELECT * FROM tsv UNIO
 )
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return records.failed(_parsed(spark, d)).select("line_id", "reason")
+
+
+#: Lines of a file that are joined to one text; a block starts at a record, as every row holds one.
+BLOCK_LINES = 1000
+
+
+@R.add("p5_recovered")
+def p5_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """The csv files as running texts in blocks of BLOCK_LINES records, parsed with recovery at record starts after a broken quote."""
+    rows = table(spark, d, "raw_lines").where("layout = 'snip_csv' AND line_no <> 1 AND text IS NOT NULL AND NOT startswith(text, '#')")
+    block = F.concat_ws("#", "file_name", F.floor(F.col("line_no") / BLOCK_LINES).cast("string"))
+    texts = rows.groupBy(block.alias("path")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))).alias("l"))
+    labels = [r.label for r in table(spark, d, "snippet_labels").where("label IS NOT NULL").limit(records.MAX_LABELS).collect()]
+    return records.parse_texts(texts.select("path", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")), "snip_csv", labels)
