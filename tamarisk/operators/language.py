@@ -137,7 +137,8 @@ def language_model(counts: DataFrame, discount: float = 0.5) -> DataFrame:
     ``logprob`` and ``backoff`` are base-10 logarithms, as in ARPA files; unigrams are shares of all tokens but ``<s>``.
     """
     hist = F.when(F.col("n") > 1, F.regexp_replace("ngram", " [^ ]+$", "")).otherwise(F.lit(""))
-    c = counts.withColumn("history", hist)
+    # Counted once, used three times.
+    c = checkpoint(counts).withColumn("history", hist)
     total = c.where("ngram <> '<s>' OR n > 1").groupBy("n", "history").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("types"))
     p = c.join(total, ["n", "history"]).select("n", "ngram", F.when(F.col("n") == 1, F.log10(F.col("count") / F.col("total"))).otherwise(F.log10((F.col("count") - discount) / F.col("total"))).alias("logprob"))
     # What a history leaves: the discounted share, spread over the shorter n-grams.

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.operators.tfidf import document_counts
 from tamarisk.plans.scale import checkpoint
 
 #: Query vectors that are held in a task at once; more are handled in further passes over the rows.
@@ -49,9 +50,8 @@ def query_hits(index: DataFrame, queries: DataFrame, key: str = "doc_id") -> Dat
 
 def tfidf_vectors(index: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """``key``, terms and weights: tf times ln(n / df), scaled to length 1; terms of all documents have no weight and are left out."""
-    spread = index.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(8)).cast("int")).repartition("term", "__s")
-    df = spread.groupBy("term", "__s").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.sum("c").alias("df"), F.collect_list("__s").alias("i")).select("term", F.explode("i").alias("__s"), "df")
-    weighed = spread.join(df, ["term", "__s"]).where(F.col("df") < n).select(key, "term", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("w"))
+    counted = document_counts(index, "term", key)
+    weighed = counted.where(F.col("df") < n).select(key, "term", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("w"))
     doc = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     return doc.select(key, F.transform("v", lambda x: x["term"]).alias("terms"), F.transform("v", lambda x: x["w"] / norm).alias("weights"))

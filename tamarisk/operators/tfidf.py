@@ -60,10 +60,18 @@ def with_df(tf: DataFrame, key: str = "doc_id", salts: int = SALTS) -> DataFrame
     The rows of an n-gram are spread over ``salts`` shares by their document; the count goes back only to the shares that
     hold the n-gram, so a word of every document is no hot key and a rare one is not copied.
     """
-    spread = tf.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).repartition("ngram", "__s")
-    part = spread.groupBy("ngram", "__s").agg(F.count(F.lit(1)).alias("__c"))
-    df = part.groupBy("ngram").agg(F.sum("__c").alias("df"), F.collect_list("__s").alias("__in")).select("ngram", F.explode("__in").alias("__s"), "df")
-    return spread.join(df, ["ngram", "__s"]).drop("__s")
+    return document_counts(tf, "ngram", key, salts)
+
+
+def document_counts(rows: DataFrame, term: str, key: str, salts: int = SALTS) -> DataFrame:
+    """Adds df to rows unique on (term, key). The count reads the rows' own exchange again instead of making them twice."""
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    spread = rows.withColumn("__s", salt).where("__s IS NOT NULL").repartition(term, "__s")
+    # The count carries a hash of every column and both sides filter alike, else Catalyst prunes them differently and shares nothing.
+    whole = F.max(F.hash(*[c for c in rows.columns if c != term])).alias("__h")
+    part = spread.groupBy(term, "__s").agg(F.count(F.lit(1)).alias("__c"), whole)
+    df = part.groupBy(term).agg(F.when(F.max("__h").isNotNull(), F.sum("__c")).alias("df"), F.collect_list("__s").alias("__in")).select(term, F.explode("__in").alias("__s"), "df")
+    return spread.join(df, [term, "__s"]).drop("__s")
 
 
 def tf_weight(kind: str, max_tf: Column | None = None) -> Column:
@@ -85,10 +93,10 @@ def idf_weight(kind: str, n: int, max_tf: Column | None = None, epsilon: float =
 def weights(tf: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Every weighting of every n-gram: columns tf_<kind> and idf_<kind>."""
     # The maxima come from aggregates, joined by the document or as one value.
-    most = int(tf.agg(F.max("tf")).first()[0] or 1)
+    most = F.coalesce(tf.agg(F.max("tf")).scalar(), F.lit(1)).cast("double")
     per_doc = tf.groupBy(key).agg(F.max("tf").alias("__max"))
     full = with_df(tf, key).join(per_doc, key)
-    return full.select(key, "ngram", "tf", "df", *[tf_weight(k, F.col("__max")).alias(f"tf_{k}") for k in TF], *[idf_weight(k, n, F.lit(float(most))).alias(f"idf_{k}") for k in IDF])
+    return full.select(key, "ngram", "tf", "df", *[tf_weight(k, F.col("__max")).alias(f"tf_{k}") for k in TF], *[idf_weight(k, n, most).alias(f"idf_{k}") for k in IDF])
 
 
 def top_terms(tf: DataFrame, n: int, limit: int = 100, key: str = "doc_id", epsilon: float = 0.0, length_weight: float = 1.0, min_df: float = 0, max_df: float = math.inf) -> DataFrame:
