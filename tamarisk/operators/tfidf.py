@@ -135,18 +135,20 @@ def prune(top: DataFrame, key: str = "doc_id", subsumed: bool = True, overlappin
     Dropped terms still drop others. The ranked terms of one document are one array of at most the rank limit, so the
     comparison needs no self-join.
     """
-    terms = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "ngram", "score"))).alias("t"))
+    # Words and the spaced text are made once for each term, not for each pair.
+    full = top.select(key, F.struct("rank", "ngram", "score", F.split("ngram", " ").alias("w"), F.concat(F.lit(" "), F.col("ngram"), F.lit(" ")).alias("s")).alias("x"))
+    terms = full.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("t"))
 
-    def clashes(a: Column, b: Column) -> Column:
-        x, y = F.concat(F.lit(" "), a, F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" "))
+    def clashes(x: Column, y: Column) -> Column:
         hit = F.lit(False)
         if subsumed:
-            hit = hit | F.contains(x, y) | F.contains(y, x)
+            hit = hit | F.contains(x["s"], y["s"]) | F.contains(y["s"], x["s"])
         if overlapping:
-            hit = hit | (F.size(arrays.overlap(F.split(a, " "), F.split(b, " "))) > 0)
+            # A common word comes first, as it is quickly seen.
+            hit = hit | (F.arrays_overlap(x["w"], y["w"]) & (F.size(arrays.overlap(x["w"], y["w"])) > 0))
         return hit
 
-    kept = F.filter("t", lambda x, i: ~F.exists(F.slice("t", F.lit(1), i), lambda y: clashes(x["ngram"], y["ngram"])))
+    kept = F.filter("t", lambda x, i: ~F.exists(F.slice("t", F.lit(1), i), lambda y: clashes(x, y)))
     if limit is not None:
         kept = F.slice(kept, 1, limit)
     return terms.select(key, F.posexplode(kept).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("rank"), "x.ngram", "x.score")
