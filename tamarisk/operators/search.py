@@ -99,9 +99,12 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int
             for f in frames:
                 if not len(ids) or not len(f):
                     continue
+                f = f.sort_values(key, kind="stable")
                 s = score(q, f)  # queries x rows
                 s = np.where(ids[:, None] == f[key].to_numpy()[None, :], np.nan, s)
-                best = np.argsort(-s if descending else s, axis=1, kind="stable")[:, : k + 8]
+                # Rows are in key order, so a stable sort of the rounded scores gives ties, however many, to the smallest keys.
+                r = np.round(s, 9)
+                best = np.argsort(np.negative(r, out=r) if descending else r, axis=1, kind="stable")[:, :k]
                 at = np.repeat(np.arange(len(ids)), best.shape[1])
                 out = pd.DataFrame({"query": ids[at], key: f[key].to_numpy()[best.ravel()], name: s[at, best.ravel()]}).dropna()
                 kept = [pd.concat([*kept, out])]

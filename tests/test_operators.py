@@ -207,6 +207,19 @@ def test_cosine_of_documents_against_brute_force(spark):
         assert [r.doc_id for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] == want
 
 
+def test_ties_beyond_the_cut_go_to_the_smallest_keys(spark):
+    # 40 copies in one frame, far more than k, in another order than the keys'.
+    keys = random.Random(6).sample(range(1, 41), 40)
+    t = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 1.0]) for i in keys] + [(99, [1.0, 0.1])], "vec_id bigint, embedding array<double>").coalesce(1)
+    for metric in ("l2", "cosine"):
+        got = search.vector_neighbours(t, F.col("vec_id") == 0, 4, metric=metric).collect()
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [99, 1, 2, 3]
+    docs = spark.createDataFrame([(0, "a b")] + [(i, "a c") for i in keys] + [(99, "a b d"), (100, "e")], "doc_id bigint, text string").coalesce(1)
+    v = search.tfidf_vectors(search.inverted_index(docs), 43).orderBy(F.xxhash64("doc_id")).coalesce(1)
+    got = search.cosine_neighbours(v, F.col("doc_id") == 0, 4).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.rank)] == [99, 1, 2, 3]
+
+
 def test_lsh_recall(spark):
     e = table(spark, "/root/testdata/sf0.01", "embeddings")
     q = e.where("vec_id % 50 = 0")
