@@ -58,7 +58,7 @@ w AS (SELECT doc_id, ngram, tf, df, round(tf / doc_len, 6) AS tf_basic, round(1
 @R.add("tfidf_weightings", _grams_sql("1", False) + _W + "SELECT * FROM w WHERE df BETWEEN 2 AND 3")
 def tfidf_weightings(spark: SparkSession, d: str) -> DataFrame:
     docs, n = _docs(spark, d)
-    w = tfidf.weights(tfidf.frequencies(docs, (1,)), n).where("df BETWEEN 2 AND 3")
+    w = tfidf.weights(tfidf.frequencies(docs, (1,)), n)
     return w.select("doc_id", "ngram", "tf", "df", *[F.round(c, 6).alias(c) for c in w.columns[4:]])
 
 
