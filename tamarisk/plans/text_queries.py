@@ -94,7 +94,7 @@ SELECT doc_id, ngram, round(score, 6) AS score, row_number() OVER (PARTITION BY
 )
 def tfidf_pruned_terms(spark: SparkSession, d: str) -> DataFrame:
     docs, n = _docs(spark, d)
-    return tfidf.prune(tfidf.top_terms(tfidf.frequencies(docs, (1, 2, 3), tfidf.STOP_WORDS), n, 20)).withColumn("score", F.round("score", 6))
+    return tfidf.prune(tfidf.top_terms(tfidf.frequencies(docs, (1, 2, 3), tfidf.STOP_WORDS), n)).withColumn("score", F.round("score", 6))
 
 
 @R.add(
@@ -110,7 +110,7 @@ SELECT doc_id, ngram, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 )
 def tfidf_boosted_terms(spark: SparkSession, d: str) -> DataFrame:
     docs, n = _docs(spark, d)
-    top = tfidf.top_terms(tfidf.frequencies(docs, (2,)), n, 20)
+    top = tfidf.top_terms(tfidf.frequencies(docs, (2,)), n)
     out = tfidf.boost(top, good=["museum", "bridge"], bad=["once"], good_by=2.0, bad_by=0.5, numeric_by=0.25, stop_by=0.5)
     return out.where("rank <= 5").select("doc_id", "ngram", F.round("score", 6).alias("score"), "rank")
 
