@@ -233,7 +233,7 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
 @R.add("resolved_terms", f"WITH {_IDX}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM idx)) SELECT doc_id, id, term, tf FROM idx JOIN v USING (term) WHERE tf >= 10")
 def resolved_terms(spark: SparkSession, d: str) -> DataFrame:
     idx = _index(spark, d)
-    return lookup(idx.where("tf >= 10"), columns.ids_by_name(idx, "term"), ["term"], "inner").select("doc_id", "id", "term", "tf")
+    return lookup(idx, columns.ids_by_name(idx, "term"), ["term"], "inner").select("doc_id", "id", "term", "tf")
 
 
 @R.add("relabelled", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' END, o_orderstatus) AS o_orderstatus FROM orders")

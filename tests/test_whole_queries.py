@@ -10,6 +10,7 @@ CUTS = {
     "tfidf_weightings": (" WHERE df BETWEEN 2 AND 3", ""),
     "tfidf_boosted_terms": (" WHERE rank <= 20", " WHERE rank <= 100"),
     "tfidf_pruned_terms": (" WHERE rank <= 20", " WHERE rank <= 100"),
+    "resolved_terms": (" WHERE tf >= 10", ""),
 }
 
 
