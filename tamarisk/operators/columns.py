@@ -107,7 +107,13 @@ def class_last(df: DataFrame, label: str, ignore: Sequence[str] = ()) -> DataFra
 
 def as_doubles(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """All columns but ``keep`` as double, null where a text is no number."""
-    return df.select(*[F.col(f"`{c}`") if c in keep else F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns])
+
+    def double(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        # The cast takes Java's suffixes (1d, 1f) and hexadecimals, which are no numbers.
+        return (F.when(~x.rlike(r"(?i)x|[0-9.][df]\s*$"), x.try_cast("double")) if kind == "string" else x.try_cast("double")).alias(c)
+
+    return df.select(*[F.col(f"`{c}`") if c in keep else double(c, kind) for c, kind in df.dtypes])
 
 
 def first_value(df: DataFrame, wanted: str, key: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ CUTS = {
     "tfidf_boosted_terms": (" WHERE rank <= 20", " WHERE rank <= 100"),
     "tfidf_pruned_terms": (" WHERE rank <= 20", " WHERE rank <= 100"),
     "resolved_terms": (" WHERE tf >= 10", ""),
+    "as_doubles": (catalog.SQL["as_doubles"][catalog.SQL["as_doubles"].index(" FROM diabetes") :], " FROM diabetes"),
 }
 
 
@@ -18,3 +19,10 @@ CUTS = {
 def test_query_does_the_whole_job(spark, duck, name):
     got, want = same_rows(catalog.QUERIES[name](spark, SF), duck, catalog.SQL[name].replace(*CUTS[name]))
     assert got == want and got != same_rows(catalog.QUERIES[name](spark, SF), duck, catalog.SQL[name])[1]
+
+
+def test_as_doubles_keeps_records_with_dirty_texts(spark, tmp_path):
+    rows = [("a", "n/a", "24"), ("b", "1,000", "1e3"), ("c", "85f", " 7 "), ("d", "1d", "0x1p3"), ("e", None, "inf")]
+    spark.createDataFrame(rows, "record_id string, insulin string, triceps string").write.parquet(str(tmp_path / "diabetes.parquet"))
+    got = {r.record_id: (r.insulin, r.triceps) for r in catalog.QUERIES["as_doubles"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (None, 24.0), "b": (None, 1000.0), "c": (None, 7.0), "d": (None, None), "e": (None, float("inf"))}
