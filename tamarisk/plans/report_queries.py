@@ -23,7 +23,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 SELECT * FROM c WHERE NOT regexp_full_match(line, '[ \t\r\n]*')""",
 )
 def log_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return reports.collapse(_lines(spark, d).where(~F.contains("line", F.lit("\b"))))
+    return reports.collapse(_lines(spark, d))
 
 
 @R.add("log_abbreviated")
