@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators import columns, learning, sampling
+from tamarisk.operators import learning, sampling
 from tamarisk.plans.registry import Registry
 from tamarisk.plans.scale import shared_dir, table
 from tamarisk.sources import tabular
@@ -131,7 +132,9 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("scaled_features", "SELECT event_id, event_type FROM events")
 def scaled_features(spark: SparkSession, d: str) -> DataFrame:
-    return columns.class_last(table(spark, d, "events"), "event_type", ["ts", "user_id", "value", "props"])
+    """y and the scaled columns of every event with a type; gaps hold the mean."""
+    out = learning.features(table(spark, d, "events"), ["user_id", "value"], "event_type")
+    return out.select("y", vector_to_array("features").alias("features"))
 
 
 # Streaming
