@@ -23,6 +23,8 @@ from tamarisk.plans.scale import checkpoint, lookup
 
 #: Units shorter than this cannot all be told apart (there are ten digits) and are not checked for clashes.
 CHECKED_LENGTH = 5
+#: Letters that stand for each other, besides the consonants of Latin and Cyrillic.
+POOLS = ("aeiou", "αεηιουω", "βγδζθκλμνξπρστφχψ", "اوي", "بتثجحخدذرزسشصضطظعغفقكلمنه", "אבגדהוזחטיכלמנסעפצקרשת")
 #: Times a clash is redrawn before the operator gives up with an error.
 ROUNDS = 30
 
@@ -39,8 +41,12 @@ def units_of(kind: str, entity: str) -> list[tuple[int, int, str]]:
         at = [i for i, c in enumerate(entity) if c.isalnum()]
         if kind == "phone":
             cut = re.search(r"(?i)[  ]?(?:ext|x|int|доб)", entity)
-            at = [i for i in at if entity[i].isdigit() and (not cut or i < cut.start())]
-        return [(at[0], at[-1] + 1, _fold("".join(entity[i] for i in at)))] if at else []
+            digits = [i for i in at if entity[i].isdigit()]
+            # An extension is a unit of its own, so that the number is the same with and without it.
+            groups = [[i for i in digits if not cut or i < cut.start()], [i for i in digits if cut and i >= cut.start()]]
+        else:
+            groups = [at]
+        return [(g[0], g[-1] + 1, _fold("".join(entity[i] for i in g))) for g in groups if g]
     return [(m.start(), m.end(), _fold(m.group())) for m in re.finditer(r"[^\W\d_]+|\d+", entity) if m.group().lower() not in KEPT]
 
 
@@ -48,25 +54,52 @@ def _fold(s: str) -> str:
     return unicodedata.normalize("NFKC", s).casefold()
 
 
+def _pool(c: str) -> str:
+    """The characters that may stand for ``c``: of its script, vowels for vowels where they are known."""
+    base = unicodedata.normalize("NFD", c)[0]
+    if c.isdigit():
+        return "0123456789"
+    if not c.isalpha():
+        return c
+    if base in "аеёиоуыэюя":
+        return "аеиоу"
+    for letters in POOLS:
+        if base in letters:
+            return letters
+    if base.isascii():
+        return "bcdfghklmnprstvz"
+    if "а" <= base <= "я":
+        return "бвгдзклмнпрстх"
+    # Others take the letters beside them; those without case stay composed (syllables).
+    like = c if unicodedata.category(c) == "Lo" else base
+    start = ord(like) // 64 * 64
+    near = [chr(x) for x in range(start, start + 64) if unicodedata.category(chr(x)) == unicodedata.category(like)]
+    return "".join(x for x in near if _fold(x) == x and (like == c or unicodedata.normalize("NFD", x) == x)) or c
+
+
 def draw(key: str, kind: str, unit: str, gender: str, nonce: int) -> str:
-    """The surrogate of a unit: as long, of the same classes of characters; a gendered name part ends in -a or -o."""
+    """The surrogate of a unit: as long, of the same classes of characters; a gendered name part ends in -a or -o.
+
+    A draw that equals the unit is repeated.
+    """
+    drawn = unit
+    for again in range(ROUNDS):
+        drawn = _draw(key, kind, unit, gender, f"{nonce}.{again}" if again else f"{nonce}")
+        if drawn != unit:
+            break
+    return drawn
+
+
+def _draw(key: str, kind: str, unit: str, gender: str, nonce: str) -> str:
     out, stream, n = [], b"", 0
     for i, c in enumerate(unit):
         while len(stream) < 2:
             stream += hashlib.blake2b(f"{kind}|{unit}|{nonce}|{n}".encode(), key=key.encode()[:64], digest_size=64).digest()
             n += 1
         r, stream = int.from_bytes(stream[:2], "big"), stream[2:]
-        base = unicodedata.normalize("NFD", c)[0]
-        if c.isdigit():
-            pool = "0123456789"
-        elif "а" <= base <= "я":
-            pool = "аеиоу" if base in "аеёиоуыэюя" else "бвгдзклмнпрстх"
-        elif base.isascii() and base.isalpha():
-            pool = "aeiou" if base in "aeiou" else "bcdfghklmnprstvz"
-        else:
-            pool = c
+        pool = _pool(c)
         out.append(pool[r % len(pool)])
-    if gender and kind == "name":
+    if gender and kind == "name" and len(unit) > 1:
         out[-1] = "a" if gender == "f" else "o"
     return "".join(out)
 

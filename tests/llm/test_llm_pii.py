@@ -78,6 +78,20 @@ def test_registry_keeps_units_apart(spark, monkeypatch):
     assert len(t) == 16 and len({r.drawn for r in t}) == 16 and all(r.unit != r.drawn for r in t)
 
 
+def test_no_unit_stays_as_written(spark):
+    for u in [*map(str, range(100)), "a", "نور", "λίνα".replace("ί", "ι"), "ø"]:
+        assert all(surrogates.draw(f"k{k}", "address", u, "", 0) not in (u, "") for k in range(40))
+    long = [("name", u, "") for u in ("αλεξανδρος", "عبدالرحمن", "אברהמי", "გიორგი")]
+    t = surrogates.registry(spark.createDataFrame(long, "kind string, unit string, gender string"), "k").collect()
+    assert len(t) == 4 and all(r.drawn != r.unit and len(r.drawn) == len(r.unit) for r in t)
+
+
+def test_extension_is_replaced():
+    entity = "+1-454-555-0145 ext. 829"
+    assert [entity[s:e] for s, e, _ in surrogates.units_of("phone", entity)] == ["1-454-555-0145", "829"]
+    assert [u for *_, u in surrogates.units_of("phone", entity)] == ["14545550145", "829"] and [u for *_, u in surrogates.units_of("phone", entity[:15])] == ["14545550145"]
+
+
 def test_empty(spark, docs, names):
     e = docs.limit(0)
     assert pii.find_entities(e, names).count() == pii.redact(e, names).count() == surrogates.replace_entities(e, names, "k").count() == 0
