@@ -1,8 +1,9 @@
 """Recursive-descent grammars for delimited records, with error recovery at record anchors.
 
-``Parser.document`` reads a whole text of many records; after an error it resumes at the next *anchor*, a line
-start at which the first fields of a record are valid (see ``Layout.anchor``), so that one broken quote costs one
-record and not the rest of the file. ``Parser.single`` reads a text that is one record.
+``document`` reads a whole text of many records. After a broken quote it resumes at the next *anchor*, a record start that is
+validated: one that the caller knows (``starts``, where records came as rows), or else a line start at which the leading fields of
+a record are valid (see ``Layout.leading``). An anchor also ends a quoted field that is still open, so that a quote that is never
+closed costs its own record and swallows none of those after it. ``single`` reads a text that is one record.
 
 Grammar of a quoted layout:   record := field (sep field)* end ;  field := '"' (char | '""')* '"' | char-but-quote*
 Grammar of a plain layout:    record := field (sep field)* end ;  field := char*
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -47,54 +48,79 @@ class Layout:
     quoted: bool
     anchors: int = 1
 
-    def anchor(self, text: str, at: int) -> bool:
-        """True iff the ``anchors`` leading fields at offset ``at`` parse and are valid."""
-        pos = at
+    def leading(self, text: str, at: int) -> tuple[int, int]:
+        """(read, valid): of the ``anchors`` leading fields at an offset, those that end in a separator on their line, and those of
+        them that are valid."""
+        pos, read, good = at, 0, 0
+        line = text.find("\n", at)
+        end = len(text) if line < 0 else line
         try:
             for k in range(self.anchors):
-                raw, pos = _field(self, text, pos, k + 1, single=False)
-                self.fields[k][1](raw)
-                if not text.startswith(self.sep, pos):
-                    return False
+                raw, pos = _field(self, text, pos, k + 1, end, False)
+                if not text.startswith(self.sep, pos) or pos >= end:
+                    break
+                read += 1
+                good += _passes(self.fields[k][1], raw)
                 pos += len(self.sep)
-        except (SyntaxFault, ValueError):
-            return False
-        return True
+        except SyntaxFault:
+            pass
+        return read, good
+
+    def anchor(self, text: str, at: int) -> bool:
+        """True iff all the ``anchors`` leading fields at offset ``at`` are valid, so that a record surely starts there."""
+        return self.leading(text, at)[1] == self.anchors
+
+
+def _passes(check: Check, raw: str) -> bool:
+    try:
+        check(raw)
+    except ValueError:
+        return False
+    return True
+
 
+def _field(layout: Layout, text: str, at: int, number: int, end: int, lines: bool) -> tuple[str, int]:
+    """field: the value and the offset after it, at most ``end``.
 
-def _field(layout: Layout, text: str, at: int, number: int, single: bool) -> tuple[str, int]:
-    """field: the value and the offset after it."""
-    if layout.quoted and text.startswith('"', at):
+    ``lines``: records end at line ends, and an anchor ends a field whose quote is open; else the record reaches to ``end``.
+    """
+    if layout.quoted and text.startswith('"', at, end):
         pos = at + 1
         while True:
-            q = text.find('"', pos)
+            q = text.find('"', pos, end)
+            if lines:
+                line = text.find("\n", pos, end if q < 0 else q)
+                while line >= 0:
+                    if layout.anchor(text, line + 1):
+                        raise SyntaxFault("quoting", at, number, "quote not closed")
+                    line = text.find("\n", line + 1, end if q < 0 else q)
             if q < 0:
                 raise SyntaxFault("quoting", at, number, "quote not closed")
-            if text.startswith('"', q + 1):
+            if text.startswith('"', q + 1, end):
                 pos = q + 2
                 continue
-            end = q + 1
-            if end < len(text) and not text.startswith(layout.sep, end) and (single or text[end] not in "\r\n"):
-                raise SyntaxFault("quoting", end, number, "text after a closing quote")
-            return text[at + 1 : q].replace('""', '"'), end
-    stop = text.find(layout.sep, at)
-    end = len(text) if stop < 0 else stop
-    if not single and (line := text.find("\n", at, end)) >= 0:
-        end = line - (line > at and text[line - 1] == "\r")
-    if layout.quoted and (q := text.find('"', at, end)) >= 0:
+            after = q + 1
+            if after < end and not text.startswith(layout.sep, after, end) and not (lines and text[after] in "\r\n"):
+                raise SyntaxFault("quoting", after, number, "text after a closing quote")
+            return text[at + 1 : q].replace('""', '"'), after
+    stop = text.find(layout.sep, at, end)
+    stop = end if stop < 0 else stop
+    if lines and (line := text.find("\n", at, stop)) >= 0:
+        stop = line - (line > at and text[line - 1] == "\r")
+    if layout.quoted and (q := text.find('"', at, stop)) >= 0:
         raise SyntaxFault("quoting", q, number, "quote inside an unquoted field")
-    return text[at:end], end
+    return text[at:stop], stop
 
 
-def _record(layout: Layout, text: str, at: int, single: bool) -> tuple[list[tuple[str, int]], int]:
+def _record(layout: Layout, text: str, at: int, end: int, lines: bool) -> tuple[list[tuple[str, int]], int]:
     """record: the raw fields with their offsets, and the offset after the last."""
     raw, pos = [], at
     while True:
-        value, end = _field(layout, text, pos, len(raw) + 1, single)
+        value, pos_after = _field(layout, text, pos, len(raw) + 1, end, lines)
         raw.append((value, pos))
-        if not text.startswith(layout.sep, end):
-            return raw, end
-        pos = end + len(layout.sep)
+        if not text.startswith(layout.sep, pos_after, end):
+            return raw, pos_after
+        pos = pos_after + len(layout.sep)
 
 
 def _typed(layout: Layout, raw: list[tuple[str, int]], at: int) -> dict:
@@ -113,18 +139,31 @@ def single(layout: Layout, text: str | None) -> Record:
     """The text as one record, line breaks outside quotes being ordinary characters; a null text has no fields."""
     if text is None:
         return Record(0, 0, None, SyntaxFault("columns", 0, 0, "null text"))
+    return _bounded(layout, text, 0, len(text))
+
+
+def _bounded(layout: Layout, text: str, at: int, end: int) -> Record:
+    """The record between two known places."""
     try:
-        raw, _ = _record(layout, text, 0, True)
-        return Record(0, len(text), _typed(layout, raw, 0), None)
+        raw, _ = _record(layout, text, at, end, False)
+        return Record(at, end, _typed(layout, raw, at), None)
     except SyntaxFault as e:
-        return Record(0, len(text), None, e)
+        return Record(at, end, None, e)
 
 
-def document(layout: Layout, text: str) -> Iterator[Record]:
-    """The records of a text with line ends between them; blank lines are no records.
+def document(layout: Layout, text: str, starts: Sequence[int] | None = None) -> Iterator[Record]:
+    """The records of a text with line ends between them.
 
-    A record with a syntax error ends before the next validated anchor, whatever quotes are open.
+    ``starts``: the offsets at which records are known to start, each after a line end; one record comes out for each of them, line
+    breaks within it being ordinary characters, and a broken quote ends at the next start. Without them records end at line ends
+    outside quotes, blank lines are no records, and a record with a fault of quoting or columns ends before the next anchor: a line
+    start at which all but one of the leading fields are valid. A fault of columns also ends at a line with as many fields as
+    that. A line that is all valid at its start is never part of the record before it, whatever quotes are open.
     """
+    if starts is not None:
+        for at, after in zip(starts, [*starts[1:], len(text) + 1]):
+            yield _bounded(layout, text, at, after - 1)
+        return
     at, n = 0, len(text)
     while at < n:
         if text[at] in "\r\n":
@@ -132,21 +171,22 @@ def document(layout: Layout, text: str) -> Iterator[Record]:
             continue
         fault = values = None
         try:
-            raw, end = _record(layout, text, at, False)
+            raw, end = _record(layout, text, at, n, True)
             values = _typed(layout, raw, at)
         except SyntaxFault as e:
             fault = e
-            if e.reason == "quoting":
-                end = _resume(layout, text, at)
+            if layout.quoted and e.reason != "value":
+                end = _resume(layout, text, at, e.reason)
         yield Record(at, end, values, fault)
         at = max(end, at + 1)
 
 
-def _resume(layout: Layout, text: str, at: int) -> int:
+def _resume(layout: Layout, text: str, at: int, reason: str) -> int:
     """Offset of the line end before the next anchor after ``at``, or of the end of the text."""
     line = text.find("\n", at)
     while line >= 0:
-        if layout.anchor(text, line + 1):
+        read, good = layout.leading(text, line + 1)
+        if good >= max(layout.anchors - 1, 1) or (reason == "columns" and read == layout.anchors):
             return line
         line = text.find("\n", line + 1)
     return len(text)

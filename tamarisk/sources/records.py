@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,26 +39,31 @@ def parse_rows(lines: DataFrame, labels: DataFrame) -> DataFrame:
     texts that begin with ``#`` are neither. A null text or an unknown layout is an error of ``columns``; an empty text
     has one empty field. Repeated rows are parsed one by one; other columns are dropped. No rows give no rows.
 
-    A narrow map over Arrow batches: no shuffle, the texts never leave their partition.
+    A narrow map over Arrow batches: the rows of a layout in a batch are read as one running text by the recovering grammar, whose
+    anchors are the starts of the rows. No shuffle, the texts never leave their partition.
     """
-    allowed = labels.where("label IS NOT NULL").select("label").distinct().limit(MAX_LABELS + 1).collect()
-    if len(allowed) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    names = frozenset(r.label for r in allowed)
+    names = allowed_labels(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = grammar.layouts(names)
         for batch in batches:
-            cols: dict[str, list] = {f.name: [] for f in _ARROW}
             given = batch.to_pydict()
-            for i, (layout, text) in enumerate(zip(given["layout"], given["text"])):
-                if layout in known:
-                    rec = grammar.single(known[layout], text)
-                else:
-                    rec = grammar.Record(0, 0, None, grammar.SyntaxFault("columns", 0, 0, "unknown layout"))
+            texts, kinds = given["text"], given["layout"]
+            outcome: list[tuple[grammar.Record, int]] = [(grammar.single(known["snip_csv"], None), 0)] * len(texts)
+            for layout in set(kinds):
+                rows = [i for i, k in enumerate(kinds) if k == layout and texts[i] is not None]
+                if layout not in known:
+                    for i in rows:
+                        outcome[i] = (grammar.Record(0, 0, None, grammar.SyntaxFault("columns", 0, 0, "unknown layout")), 0)
+                    continue
+                starts = list(accumulate((len(texts[i]) + 1 for i in rows[:-1]), initial=0)) if rows else []
+                for i, rec in zip(rows, grammar.document(known[layout], "\n".join(texts[i] for i in rows), starts)):
+                    outcome[i] = (rec, rec.start)
+            cols: dict[str, list] = {f.name: [] for f in _ARROW}
+            for i, (rec, start) in enumerate(outcome):
                 row = rec.values or {}
                 if rec.fault:
-                    row = {"reason": rec.fault.reason, "error_field": rec.fault.field, "error_char": rec.fault.at + 1, "detail": rec.fault.detail, "raw": text}
+                    row = {"reason": rec.fault.reason, "error_field": rec.fault.field, "error_char": rec.fault.at - start + 1, "detail": rec.fault.detail, "raw": texts[i]}
                 for c in ("line_id", "file_name", "line_no", "layout"):
                     cols[c].append(given[c][i])
                 for f in _ARROW.names[4:]:
@@ -69,6 +75,14 @@ def parse_rows(lines: DataFrame, labels: DataFrame) -> DataFrame:
     return data.mapInArrow(run, _OUT)
 
 
+def allowed_labels(labels: DataFrame) -> frozenset[str]:
+    """The labels of a closed list (column ``label``); more than MAX_LABELS raise ``ValueError``."""
+    got = labels.where("label IS NOT NULL").select("label").distinct().limit(MAX_LABELS + 1).collect()
+    if len(got) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return frozenset(r.label for r in got)
+
+
 def valid(parsed: DataFrame) -> DataFrame:
     """The typed records."""
     return parsed.where("reason IS NULL").drop("reason", "error_field", "error_char", "detail", "raw")
@@ -82,8 +96,8 @@ def failed(parsed: DataFrame) -> DataFrame:
 _DOC_OUT = "path string, record_no int, start_char int, end_char int, fields map<string,string>, reason string, error_field int, error_char int, detail string"
 
 
-def parse_texts(texts: DataFrame, layout: str, labels: list[str]) -> DataFrame:
-    """Records of whole files: ``texts`` (path, text) with many records each, recovered at anchors after a broken quote.
+def parse_texts(texts: DataFrame, layout: str, labels: Iterable[str]) -> DataFrame:
+    """Records of whole files: ``texts`` (path, text) with many records each, recovered at anchors after a fault.
 
     Valid rows have ``fields`` (values as text), failed ones ``reason`` and the place of the error. Null and empty texts
     give no rows. One file is one task's work; split larger files by line ranges first.

@@ -64,12 +64,35 @@ def test_document_resumes_at_anchor():
     assert list(grammar.document(LAY["snip_csv"], "")) == []
 
 
+def outcomes(text):
+    return [r.values["id"] if r.values else r.fault.reason for r in grammar.document(LAY["snip_csv"], text)]
+
+
+def test_an_open_quote_swallows_no_record():
+    assert outcomes('1,food,2020-01-01,4,"broken\n2,food,2020-01-02,4,good\n3,sport,2020-01-03,4,tail"\n4,food,2020-01-04,,x') == ["quoting", 2, "quoting", 4]
+    assert outcomes('1,food,2020-01-01,4,"a\nb, c"\n2,food,2020-01-02,4,x') == [1, 2]
+
+
+def test_two_bad_records_in_a_row_stay_two():
+    assert outcomes('1,food, "2020-01-01",4,"a"\n1,food, "2020-01-01",4,"a"\n2,food,2020-01-02,4,x') == ["quoting", "quoting", 2]
+    assert outcomes("1,food,2020-01-01\nno fields here\n2,sport,2020-01-02,x\n3,food,2020-01-03,4,x") == ["columns", "columns", 3]
+
+
+def test_rows_as_running_text_with_known_starts():
+    rows = [GOOD, '1,food,2020-01-01,4,"open', "", "2,food,2020-01-01,4,a\nb", GOOD]
+    starts = [sum(len(r) + 1 for r in rows[:i]) for i in range(len(rows))]
+    out = list(grammar.document(LAY["snip_csv"], "\n".join(rows), starts))
+    for row, start, r in zip(rows, starts, out, strict=True):
+        one = grammar.single(LAY["snip_csv"], row)
+        assert r.values == one.values and (r.fault and (r.fault.reason, r.fault.at - start)) == (one.fault and (one.fault.reason, one.fault.at))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet='ab,"\n é', min_size=0, max_size=8), min_size=1, max_size=6))
 def test_fields_survive_a_csv_writer(fields):
     buffer = io.StringIO()
     csv.writer(buffer, quoting=csv.QUOTE_ALL, lineterminator="").writerow(fields)
-    raw, end = grammar._record(LAY["snip_csv"], buffer.getvalue(), 0, True)
+    raw, end = grammar._record(LAY["snip_csv"], buffer.getvalue(), 0, len(buffer.getvalue()), False)
     assert [v for v, _ in raw] == fields and end == len(buffer.getvalue())
 
 
