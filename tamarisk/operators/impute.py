@@ -13,13 +13,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tamarisk.plans.scale import checkpoint, lookup
+from tamarisk.plans.scale import lookup, written
 
-#: A usable measurement, surrounding white space aside.
-NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
+#: A usable measurement within surrounding white space.
+NUMBER = r"^(?U:\s*)([+-]?[0-9]+(?:\.[0-9]+)?)(?U:\s*)$"
 #: Strengths among which the shrinkage of category shares is chosen by leave-one-out likelihood.
 STRENGTHS = (0.02, 0.1, 0.5, 2.0, 10.0, 50.0, 250.0)
 
@@ -49,14 +50,14 @@ class FillSpec:
 
 def usable_number(c: Column | str, low: float, high: float) -> Column:
     """The number in the text, or null if it is no usable measurement within the bounds."""
-    t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^(?U)\s+|(?U)\s+$", "")
-    v = F.when(t.rlike(NUMBER), t.try_cast("double"))
+    v = F.regexp_extract(F.col(c) if isinstance(c, str) else c, NUMBER, 1).try_cast("double")
     return F.when((v >= low) & (v <= high), v)
 
 
 def usable_category(c: Column | str, values: tuple[str, ...]) -> Column:
     """The category in the text without surrounding white space, or null."""
-    t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^(?U)\s+|(?U)\s+$", "")
+    given = F.col(c) if isinstance(c, str) else c
+    t = F.when(given.isin(*values), given).otherwise(F.regexp_replace(given, r"^(?U)\s+|(?U)\s+$", ""))
     return F.when(t.isin(*values), t)
 
 
@@ -71,42 +72,71 @@ def first_delivery(df: DataFrame, key: str, arrival: str) -> DataFrame:
 def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     """One row for each record with all columns, the fields of ``spec`` filled, and ``<field>_filled`` masks.
 
-    Numeric fields become double, clipped to their bounds; the category stays text. A record without group or period
-    gets the effects that are known; a field without a single usable value in the whole table stays null, still marked.
-    Null, blank and unusable values count as missing. Rows without a key are records of their own. An empty table gives
-    an empty one. Columns named like the masks are replaced.
+    A mask is true where the value was missing and is filled, false where it was given, and null where it was missing and could not be
+    filled, which is so for a field without a single usable value in the whole table. Numeric fields become double, clipped to their
+    bounds; the category stays text. A record without group or period gets the effects that are known. Null, blank and unusable
+    values count as missing. Rows without a key are records of their own. An empty table gives an empty one. Columns named like the
+    masks are replaced.
 
-    Plan: the records with their parsed values are written once to the shared folder; each effect level is one
-    pre-aggregated pass over it with the smaller levels joined in; effects are broadcast only when they fit, else the join
-    is salted, so that a clinic or patient with a third of the rows is spread over the tasks.
+    Plan: the records with their parsed values are written once to the shared folder, column by column, so that each pass reads what
+    it needs; each effect level is one pre-aggregated pass over them with the smaller levels joined in; effects are broadcast only
+    when they fit, else the join is salted, so that a clinic or patient with a third of the rows is spread over the tasks.
     """
-    base = _parsed(first_delivery(df, spec.key, spec.arrival), spec)
-    base = checkpoint(base)
-    stats = base.agg(*[F.avg(c).alias(c) for c in spec.covariates], *[F.stddev_pop(c).alias(f"sd_{c}") for c in spec.covariates], F.count(F.col("__k")).alias("labelled"), *[F.count(F.when(F.col("__k") == v, 1)).alias(f"n_{i}") for i, v in enumerate(spec.values)]).first()
-    means = {c: (float(stats[c] or 0.0), float(stats[f"sd_{c}"] or 0.0) or 1.0) for c in spec.covariates}
+    seen = Observation()
+    stats = [*[F.avg(c).alias(f"m_{c}") for c in spec.covariates], *[F.stddev_pop(c).alias(f"sd_{c}") for c in spec.covariates], F.count(F.col("__k")).alias("labelled"), *[F.count(F.when(F.col("__k") == v, 1)).alias(f"n_{i}") for i, v in enumerate(spec.values)]]
+    base = written(_parsed(first_delivery(df, spec.key, spec.arrival), spec).observe(seen, *stats))
+    stats = seen.get
+    means = {c: (float(stats[f"m_{c}"] or 0.0), float(stats[f"sd_{c}"] or 0.0) or 1.0) for c in spec.covariates}
     out, effects = _levels(_fixed(base, spec, means), spec, means, int(stats["labelled"]), [int(stats[f"n_{i}"]) for i in range(len(spec.values))])
-    filled = {}
+    given, filled = {}, {}
     for f, (low, high) in spec.numeric.items():
-        y = F.col(f"__y_{f}")
+        given[f] = F.col(f"__y_{f}")
         guess = F.col(f"__fix_{f}") + effects[f]
-        filled[f] = F.coalesce(y, F.when(guess < low, float(low)).when(guess > high, float(high)).otherwise(guess))
+        filled[f] = F.coalesce(given[f], F.when(guess < low, float(low)).when(guess > high, float(high)).otherwise(guess))
+    given[spec.category] = F.col("__k")
     filled[spec.category] = F.coalesce(F.col("__k"), F.col("__best"))
-    masks = {f"{f}_filled": F.col(f"__y_{f}").isNull() for f in spec.numeric} | {f"{spec.category}_filled": F.col("__k").isNull()}
+    masks = {f"{f}_filled": F.when(given[f].isNotNull(), False).when(filled[f].isNotNull(), True) for f in filled}
     keep = [c for c in df.columns if c not in masks]
     return out.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in keep], *[m.alias(c) for c, m in masks.items()])
 
 
 def found(filled: DataFrame, spec: FillSpec) -> DataFrame:
-    """The filled cells: one row (key, field) for each marked field."""
+    """The cells that were missing: one row (key, field) for each field that the fill marked as filled or as not to be filled."""
     fields = [*spec.numeric, spec.category]
-    marked = F.filter(F.array(*[F.when(F.col(f"{f}_filled"), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    return filled.select(spec.key, F.explode(marked).alias("field"))
+    marked = F.array(*[F.when(F.coalesce(F.col(f"{f}_filled"), F.lit(True)), F.lit(f)) for f in fields])
+    return filled.select(spec.key, F.explode_outer(marked).alias("field")).where("field IS NOT NULL")
+
+
+def hidden(df: DataFrame, spec: FillSpec, share: int = 20) -> DataFrame:
+    """How good the fills are: one in ``share`` of the usable values, chosen by the key's digest, is hidden and filled.
+
+    field, hidden (cells), error (root mean squared error, or the share of wrong categories) and plain_error, that of the field's mean in the outer
+    group (or its most frequent category), null without a usable value.
+    """
+    rows = first_delivery(df, spec.key, spec.arrival)
+    fields = [*spec.numeric, spec.category]
+    out_of = {f: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f), F.col(spec.key).cast("string"))), 1, 6), 16, 10).cast("long") % share == 0 for f in fields}
+    truth = {f: usable_number(f, *b) for f, b in spec.numeric.items()} | {spec.category: usable_category(spec.category, spec.values)}
+    kept = written(rows.select(*rows.columns, *[F.when(out_of[f], truth[f]).alias(f"__t_{f}") for f in fields]))
+    blind = fill_missing(kept.select(*[F.when(~out_of[c], F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns]), spec)
+    plain = kept.groupBy(spec.outer).agg(*[F.avg(F.when(F.col(f"__t_{f}").isNull(), truth[f])).alias(f"__p_{f}") for f in spec.numeric], F.mode(F.when(F.col(f"__t_{spec.category}").isNull(), truth[spec.category]), True).alias(f"__p_{spec.category}"))
+    both = lookup(kept.select(spec.key, spec.outer, *[f"__t_{f}" for f in fields]).join(blind.select(spec.key, *fields), spec.key), plain, [spec.outer])
+    per = []
+    for f in fields:
+        t, g, p = F.col(f"__t_{f}"), F.col(f), F.col(f"__p_{f}")
+        if f in spec.numeric:
+            error, simple = F.sqrt(F.avg((g - t) * (g - t))), F.sqrt(F.avg((p - t) * (p - t)))
+        else:
+            error, simple = F.avg(F.when(t.isNotNull(), (g != t).cast("double"))), F.avg(F.when(t.isNotNull(), F.coalesce(p != t, F.lit(True)).cast("double")))
+        per.append(F.struct(F.lit(f).alias("field"), F.count(t).alias("hidden"), error.alias("error"), simple.alias("plain_error")))
+    return both.agg(F.array(*per).alias("r")).select(F.inline("r"))
 
 
 def _parsed(df: DataFrame, spec: FillSpec) -> DataFrame:
+    """The records with their usable values in place of the texts of the fields, and the groups of the effect levels."""
     cols = {f"__y_{f}": usable_number(f, *b) for f, b in spec.numeric.items()}
-    cols |= {"__k": usable_category(spec.category, spec.values), "__period": F.date_format(spec.time, "yyyy-MM"), "__outer": F.col(spec.outer).cast("string"), "__inner": F.col(spec.inner).cast("string")}
-    return df.withColumns(cols)
+    cols |= {"__k": usable_category(spec.category, spec.values), "__period": F.year(spec.time) * 12 + F.month(spec.time), "__outer": F.col(spec.outer), "__inner": F.col(spec.inner)}
+    return df.withColumns(cols).drop(*spec.numeric, spec.category)
 
 
 def _fixed(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]]) -> DataFrame:
@@ -175,7 +205,7 @@ def _levels(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]]
         aggs += [F.count(F.when(F.col("__k") == v, 1)).alias(f"{level}_{i}") for i, v in enumerate(values)]
         if inner:
             aggs += [F.avg(F.when(F.col("__k").isNotNull(), p)).alias(f"{level}_p{i}") for i, p in enumerate(prior)]
-        groups = checkpoint(df.where(F.col(level).isNotNull()).groupBy(level).agg(*aggs))
+        groups = written(df.where(F.col(level).isNotNull()).groupBy(level).agg(*aggs))
 
         # Variances between and within groups, and how well each strength predicts a record's category from the others of its group.
         m = [F.col(f"{level}_{i}") for i in range(len(values))]
@@ -183,13 +213,13 @@ def _levels(df: DataFrame, spec: FillSpec, means: dict[str, tuple[float, float]]
         base = [F.col(f"{level}_p{i}") for i in range(len(values))] if inner else [F.lit(x) for x in overall]
         loo = [F.sum(sum((F.when(m[i] > 0, m[i] * F.log((m[i] - 1 + a * base[i]) / (n - 1 + a))).otherwise(0.0) for i in range(len(values))), F.lit(0.0))).alias(f"loo_{k}") for k, a in enumerate(STRENGTHS)]
         sums = [x for f in fields for x in (F.sum(f"n_{f}").alias(f"N_{f}"), F.count(F.when(F.col(f"n_{f}") > 0, 1)).alias(f"G_{f}"), F.sum(F.col(f"n_{f}") * F.col(f"n_{f}").cast("double")).alias(f"nn_{f}"), F.sum(f"s_{f}").alias(f"S_{f}"), F.sum(f"q_{f}").alias(f"Q_{f}"), F.sum(F.when(F.col(f"n_{f}") > 0, F.col(f"s_{f}") * F.col(f"s_{f}") / F.col(f"n_{f}"))).alias(f"B_{f}"))]
-        tot = groups.agg(*sums, *loo).first()
+        tot = groups.agg(*sums, *loo, F.count(F.lit(1)).alias("groups")).first()
         shrunk = []
         for f in fields:
             ratio = _ratio(*(tot[f"{c}_{f}"] for c in ("N", "G", "nn", "S", "Q", "B")))
             e = F.col(f"s_{f}") / (F.col(f"n_{f}") + F.lit(float(ratio))) if ratio is not None else F.lit(0.0)
             shrunk.append(F.coalesce(e, F.lit(0.0)).alias(f"{level}_e_{f}"))
-        df = lookup(df, groups.select(level, *shrunk, *[f"{level}_{i}" for i in range(len(values))]), [level])
+        df = lookup(df, groups.select(level, *shrunk, *[f"{level}_{i}" for i in range(len(values))]), [level], rows=None if isinstance(groups.schema[level].dataType, T.StringType) else int(tot["groups"]))
         effects = {f: effects[f] + F.coalesce(F.col(f"{level}_e_{f}"), F.lit(0.0)) for f in fields}
 
         a = STRENGTHS[max(range(len(STRENGTHS)), key=lambda k: -float("inf") if tot[f"loo_{k}"] is None else tot[f"loo_{k}"])]

@@ -31,6 +31,22 @@ def p4_filled(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d)[0]
 
 
+@R.add(
+    "p4_quality",
+    r"""
+WITH rec AS (SELECT record_id, min_by(struct_pack(diastolic, triceps, insulin, "class" := "class"), received_at) AS r FROM diabetes GROUP BY record_id),
+m AS (SELECT record_id, f AS field, regexp_replace(CASE f WHEN 'diastolic' THEN r.diastolic WHEN 'triceps' THEN r.triceps WHEN 'insulin' THEN r.insulin ELSE r."class" END, '^\s+|\s+$', '', 'g') AS v
+      FROM rec, (SELECT unnest(['diastolic', 'triceps', 'insulin', 'class']) AS f)),
+t AS (SELECT m.field, ('0x' || left(md5(m.field || '|' || record_id::VARCHAR), 6))::BIGINT % 20 = 0 AS chosen,
+      CASE WHEN m.field = 'class' THEN v IN ('0', '1') ELSE regexp_full_match(v, '[+-]?[0-9]+(\.[0-9]+)?') AND try_cast(v AS DOUBLE) BETWEEN low AND high END AS usable FROM m LEFT JOIN field_ranges r ON r.field = m.field)
+SELECT field, count(*) FILTER (chosen AND usable) AS hidden, true AS better FROM t GROUP BY field
+""",
+)
+def p4_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden values of each field, and whether the fill is nearer to them than the clinic's mean (or most frequent class)."""
+    return impute.hidden(table(spark, d, "diabetes"), diabetes_spec(spark, d)).select("field", "hidden", (F.col("error") < F.col("plain_error")).alias("better"))
+
+
 @R.add(
     "p4_found",
     r"""

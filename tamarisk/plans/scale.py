@@ -6,7 +6,9 @@ the size of a table only decides how a join is carried out.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table is broadcast.
+#: Rows and bytes up to which a lookup table is broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 #: Copies of a lookup table (and shares of a hot key) in a salted join.
 SALTS = 8
 
@@ -31,12 +34,14 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tamarisk-"), "tamarisk_package.zip")
+    folder = tempfile.mkdtemp(prefix="tamarisk-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tamarisk_package.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in sorted(os.walk(root)):
+        for at, _, files in sorted(os.walk(root)):
             for f in sorted(files):
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(at, f)
                     z.write(full, os.path.join("tamarisk", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
@@ -48,9 +53,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True iff ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1`` of them."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(df: DataFrame):
+    """About the bytes of a row: 16 for each flat value, texts by their length, nested values as JSON."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            size = size + F.coalesce(F.length(F.to_json(c)), F.lit(0))
+    return size
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True iff ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes; reads no more than ``max_rows + 1`` rows."""
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(df).cast("long")), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -75,9 +93,13 @@ def salted_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str
     return left.join(right, [*on, salt], how).drop(salt)
 
 
-def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Equi-join with a table unique on ``on``: broadcast after a check of its size, else salted."""
-    if fits(small, max_rows):
+def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, rows: int | None = None) -> DataFrame:
+    """Equi-join with a table unique on ``on``: broadcast after a check of its rows and bytes, else salted.
+
+    ``rows``: how many rows ``small`` has, where that is known and its columns are all of fixed width, which spares the check a job.
+    """
+    small_enough = fits(small, max_rows) if rows is None else rows <= max_rows and rows * 16 * len(small.columns) <= BROADCAST_BYTES
+    if small_enough:
         return big.join(F.broadcast(small), list(on), how)
     return salted_lookup(big, small, on, how, salts)
 

@@ -38,8 +38,10 @@ def test_masks_and_edges(spark):
 def test_empty_and_hopeless_tables(spark):
     assert impute.fill_missing(frame(spark, []), SPEC).count() == 0
     rows = [(1, "", "", 1.0, 1, 1, 1, 0, None, None), (2, None, None, 1.0, 1, 1, 1, 0, None, None)]
-    out = impute.fill_missing(frame(spark, rows), SPEC).collect()
-    assert all(r.y is None and r.y_filled and r.k is None and r.k_filled for r in out)
+    out = impute.fill_missing(frame(spark, rows), SPEC)
+    # Missing values that nothing can fill are marked as neither given nor filled, and still found.
+    assert all(r.y is None and r.y_filled is None and r.k is None and r.k_filled is None for r in out.collect())
+    assert sorted((r.id, r.field) for r in impute.found(out, SPEC).collect()) == [(1, "k"), (1, "y"), (2, "k"), (2, "y")]
 
 
 @pytest.fixture(scope="module")
