@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import mapping, ngrams, packing, pii, sampling, surrogates, tokens
+from tamarisk.llm import mapping, ngrams, packing, sampling, surrogates, tokens
 from tamarisk.plans.registry import Registry
 from tamarisk.plans.scale import checkpoint, lookup, spread, table
 
@@ -157,19 +157,36 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 # Problem 8
 
 
+SECRET = "a key of the user's own"
+
+
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    return _documents(spark, d), table(spark, d, "person_names"), SECRET
+
+
 @R.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_entities(_documents(spark, d), table(spark, d, "person_names")).select("doc_id", "kind", "start_char")
+    return surrogates.find_entities(*_personal(spark, d)).select("doc_id", "kind", "start_char")
 
 
 @R.add("p8_redacted")
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(_documents(spark, d), table(spark, d, "person_names"))
+    return surrogates.replace_entities(*_personal(spark, d), by="placeholder")
 
 
 @R.add("p8_surrogates")
 def p8_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return surrogates.replace_entities(_documents(spark, d), table(spark, d, "person_names"), "a key of the user's own")
+    return surrogates.replace_entities(*_personal(spark, d))
+
+
+@R.add("p8_checked", "SELECT doc_id, true AS untouched, true AS changed FROM documents")
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    return surrogates.check_replaced(*_personal(spark, d))
+
+
+@R.add("p8_distinct", "SELECT unnest(['email', 'id_number', 'phone', 'address', 'name']) AS kind, true AS apart, true AS together")
+def p8_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return surrogates.check_distinct(surrogates.find_entities(*_personal(spark, d)))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -1,6 +1,6 @@
-"""Problem 8: personal information in free text: finding it, typed placeholders, and keyed surrogates.
+"""Problem 8, first half: finding personal information in free text. What stands in its place comes from ``surrogates``.
 
-``find_entities`` is one pass of patterns over whole texts (no shuffle). Its spans do not overlap: an email wins over an
+``find_spans`` is one pass of patterns over a whole text. Its spans do not overlap: an email wins over an
 identity number, that over a phone number, that over an address, that over a name.
 """
 
@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -312,52 +311,9 @@ def find_spans(text: str | None, known: frozenset[str]) -> list[Span]:
     return sorted(spans, key=lambda x: x.start)
 
 
-def name_parts(names: DataFrame, most: int = 1_000_000) -> frozenset[str]:
+def name_parts(names: DataFrame, most: int = 200_000) -> frozenset[str]:
     """The lower-cased name parts of a list (column ``name``), which every task gets; more than ``most`` are refused."""
     got = [r.n for r in names.where("name IS NOT NULL").select(F.lower(F.trim("name")).alias("n")).distinct().limit(most + 1).collect()]
     if len(got) > most:
         raise ValueError(f"more than {most} name parts")
     return frozenset(x for x in got if x)
-
-
-def find_entities(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, kind, start_char, end_char (from 1, both included, in code points) and entity, one row for each occurrence.
-
-    Null and empty texts hold none; copies of a text are searched like any other. ``names`` lists name parts (column
-    ``name``). Other columns are ignored; whole texts are searched. A narrow map: no shuffle.
-    """
-    known, kind = name_parts(names), dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, kinds, starts, ends, found = [], [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for sp in find_spans(t, known):
-                    keys.append(k)
-                    kinds.append(sp.kind)
-                    starts.append(sp.start + 1)
-                    ends.append(sp.end)
-                    found.append(t[sp.start : sp.end])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())], [key, "kind", "start_char", "end_char", "entity"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, kind string, start_char int, end_char int, entity string")
-
-
-def redact(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the text with a placeholder like ``[EMAIL]`` for each occurrence, all else untouched; null stays null."""
-    known, kind = name_parts(names), dict(docs.dtypes)[key]
-
-    def one(t: str | None) -> str | None:
-        if not t:
-            return t
-        out, at = [], 0
-        for sp in find_spans(t, known):
-            out += [t[at : sp.start], f"[{sp.kind.upper()}]"]
-            at = sp.end
-        return "".join([*out, t[at:]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(1).to_pylist()], pa.string())], [key, "text"])
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, text string")

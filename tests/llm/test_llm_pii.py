@@ -1,6 +1,8 @@
 """Detection of personal data, placeholders and surrogates."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tamarisk.llm import pii, surrogates
 
@@ -51,9 +53,9 @@ def names(spark):
 
 
 def test_entities_and_placeholders(docs, names):
-    e = {(r.doc_id, r.kind, r.start_char) for r in pii.find_entities(docs, names).collect()}
+    e = {(r.doc_id, r.kind, r.start_char) for r in surrogates.find_entities(docs, names, "k").collect()}
     assert e == {(1, "email", 6), (1, "phone", 25), (None, "id_number", 5)} | {(d, "name", s) for d in (2, 3) for s in (13, 33, 43)}
-    t = {r.doc_id: r.text for r in pii.redact(docs, names).collect()}
+    t = {r.doc_id: r.text for r in surrogates.replace_entities(docs, names, "k", by="placeholder").collect()}
     assert t[1] == "Mail [EMAIL], call [PHONE]." and t[2] == "approved by [NAME] and Mr [NAME]; ☕ [NAME]" and t[4] is None and t[5] == ""
 
 
@@ -68,30 +70,65 @@ def test_surrogates(docs, names):
     again = {r.doc_id: r.text for r in surrogates.replace_entities(docs, names, "secret").collect()}
     other = {r.doc_id: r.text for r in surrogates.replace_entities(docs, names, "another").collect()}
     assert again == t and other[2] != t[2]
+    checks = surrogates.check_replaced(docs, names, "secret").collect()
+    assert len(checks) == docs.count() and all(r.untouched and r.changed for r in checks)
+    distinct = surrogates.check_distinct(surrogates.find_entities(docs, names, "secret")).collect()
+    assert {r.kind for r in distinct} == {"email", "phone", "id_number", "name"} and all(r.apart and r.together for r in distinct)
 
 
-def test_registry_keeps_units_apart(spark, monkeypatch):
-    # Two letters to draw from force clashes.
-    monkeypatch.setattr(surrogates, "CHECKED_LENGTH", 2)
-    units = spark.createDataFrame([("name", f"{a}{b}", "") for a in "bcdf" for b in "aeio"] * 3, "kind string, unit string, gender string")
-    t = surrogates.registry(units, "k").collect()
-    assert len(t) == 16 and len({r.drawn for r in t}) == 16 and all(r.unit != r.drawn for r in t)
+def test_checks_see_faults():
+    es = surrogates.entities("a Drahu Medrox b", KNOWN, "k")
+    assert surrogates.untouched("a Drahu Medrox b", es, surrogates.rewritten("a Drahu Medrox b", es, "surrogate"), "surrogate")
+    assert not surrogates.untouched("a Drahu Medrox b", es, "a Xxxxx Yyyyyy c", "surrogate") and not surrogates.untouched("a Drahu Medrox b", es, "c Xxxxx Yyyyyy b", "surrogate")
 
 
-def test_no_unit_stays_as_written(spark):
-    for u in [*map(str, range(100)), "a", "نور", "λίνα".replace("ί", "ι"), "ø"]:
-        assert all(surrogates.draw(f"k{k}", "address", u, "", 0) not in (u, "") for k in range(40))
-    long = [("name", u, "") for u in ("αλεξανδρος", "عبدالرحمن", "אברהמי", "გიორგი")]
-    t = surrogates.registry(spark.createDataFrame(long, "kind string, unit string, gender string"), "k").collect()
-    assert len(t) == 4 and all(r.drawn != r.unit and len(r.drawn) == len(r.unit) for r in t)
+UNITS = {
+    "digits of one length": [f"{i:03d}" for i in range(1000)], "one digit": list("0123456789"), "Latin letters": [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "bcdfghiu"], "initials": list("abcdefghijklmnopqrstuvwxyz"), "Greek": [a + b + "ς" for a in "αβγδεζηθικλμνξοπρστυφχψω" for b in "αβγδεώή"],
+    "Cyrillic": [a + b for a in "абвгдежзийклмнопрстуфхцчшщъыьэюя" for b in "абвг"], "Arabic": [a + b for a in "ابتثجحخدذرزسشصضطظعغفقكلمنهوي" for b in "ابتي"], "Hebrew": [a + b for a in "אבגדהוזחטיכלמנסעפצקרשת" for b in "אבג"], "Hangul": list("김이박최정강조윤장임"), "Georgian": list("აბგდევზთიკლმნოპ"),
+    "Devanagari": list("कखगघचछजझटठडढतथदधनपफबभमयरलव"), "kanji": list("山田中佐藤鈴木高橋伊"), "Arabic digits": list("٠١٢٣٤٥٦٧٨٩"), "marked Latin": ["é", "ñ", "ø", "ł", "ş", "ž", "ő"], "mixed": ["d2", "2d", "é1", "e1", "a", "aa", "ab", "ba"],
+}
+
+
+@pytest.mark.parametrize("what", UNITS)
+def test_units_stay_apart_and_none_stays_as_written(what):
+    for key in map(str, range(40)):
+        drawn = [surrogates.draw(key, u) for u in UNITS[what]]
+        assert len(set(drawn)) == len(set(UNITS[what])) and all(d != u and len(d) == len(u) for d, u in zip(drawn, UNITS[what]))
+
+
+def test_texts_of_any_script_are_replaced():
+    text = "mail δοκιμή@παράδειγμα.gr, Иван@пример.рф, اختبار@مثال.إختبار or 测试@例子.测试, sign by Drahu Medrox and Mr Medrox"
+    es = surrogates.entities(text, KNOWN, "k")
+    assert [e.kind for e in es] == ["email"] * 4 + ["name"] * 2
+    new = surrogates.rewritten(text, es, "surrogate")
+    assert not any(w in new for w in ("δοκιμή", "παράδειγμα", "Иван", "пример", "اختبار", "مثال", "测试", "例子", "Drahu", "Medrox")) and new.count("@") == 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(min_size=1, max_size=12), st.text(min_size=1, max_size=12))
+def test_any_two_units_stay_apart(a, b):
+    a, b = surrogates._fold(a), surrogates._fold(b)
+    if any(c.isalnum() for c in a):
+        assert surrogates.draw("k", a) != a
+    if a != b and any(c.isalnum() for c in a) and any(c.isalnum() for c in b):
+        assert surrogates.draw("k", a) != surrogates.draw("k", b)
+
+
+def test_endings_and_coreference():
+    assert all(surrogates.draw("k", n)[-1] == n[-1] for n in ("maria", "pedro", "irene")) and surrogates.draw("k", "li")[-1] in "iu"
+    one, two = (surrogates.entities(t, KNOWN, "k")[0].surrogate for t in ("at 12 Braipou Street, ring", "at 13 Braipou Street, Flat 2, ring"))
+    assert one.split()[1:] == two.rstrip(".").split(",")[0].split()[1:] and one.split()[0] != two.split()[0] and one.endswith("Street")
 
 
 def test_extension_is_replaced():
     entity = "+1-454-555-0145 ext. 829"
-    assert [entity[s:e] for s, e, _ in surrogates.units_of("phone", entity)] == ["1-454-555-0145", "829"]
-    assert [u for *_, u in surrogates.units_of("phone", entity)] == ["14545550145", "829"] and [u for *_, u in surrogates.units_of("phone", entity[:15])] == ["14545550145"]
+    units = surrogates.units_of("phone", entity)
+    assert [entity[u.start : u.end] for u in units] == ["1-454-555-0145", "829"] and [u.text for u in units] == ["14545550145", "829"]
+    assert [u.text for u in surrogates.units_of("phone", entity[:15])] == ["14545550145"]
+    made = surrogates.entities(f"call {entity} now", KNOWN, "k")[0].surrogate
+    assert made[:15] == surrogates.entities(f"call {entity[:15]} now", KNOWN, "k")[0].surrogate and made[15:21] == " ext. " and made[21:] != "829"
 
 
-def test_empty(spark, docs, names):
+def test_empty(docs, names):
     e = docs.limit(0)
-    assert pii.find_entities(e, names).count() == pii.redact(e, names).count() == surrogates.replace_entities(e, names, "k").count() == 0
+    assert surrogates.find_entities(e, names, "k").count() == surrogates.replace_entities(e, names, "k").count() == surrogates.check_replaced(e, names, "k").count() == surrogates.check_distinct(surrogates.find_entities(e, names, "k")).count() == 0
