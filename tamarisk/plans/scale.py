@@ -94,7 +94,7 @@ def salted_lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str
 
 
 def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS, rows: int | None = None) -> DataFrame:
-    """Equi-join with a table unique on ``on``: broadcast after a check of its rows and bytes, else salted.
+    """Equi-join with a table unique on ``on`` (or, in an inner join, not): broadcast after a check of its rows and bytes, else salted.
 
     ``rows``: how many rows ``small`` has, where that is known and its columns are all of fixed width, which spares the check a job.
     """
