@@ -25,6 +25,13 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(*_classed(spark, d))
 
 
+@R.add("p1_margins", "SELECT DISTINCT plan_id, true AS classes, true AS strata FROM sample_targets")
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sample keeps both margins: the rows of every class, and of every stratum its share rounded down or up."""
+    recs, targets = _classed(spark, d)
+    return sampling.margins(recs, targets, sampling.draw(recs, targets))
+
+
 _P1 = r"""
 WITH rec AS (
   SELECT DISTINCT 'iris' AS table_name, obs_id AS k, lower(regexp_replace("class", '^\s+|\s+$', '', 'g')) AS ck FROM iris
@@ -57,10 +64,16 @@ m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 24 * (SEL
 """
 
 
+#: Terms of a suffix: what follows a term routes and sorts its suffixes, so that a frequent one is spread over tasks.
+SUFFIX_TERMS = 3
+
+
+def _ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=SUFFIX_TERMS)
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    snippets = table(spark, d, "snippets")
-    counts = ngrams.count_ngrams(ngrams.one_record(snippets, "id", "text", "ingested_at"))
-    return ngrams.mark_terms(counts, ngrams.record_count(snippets, "id", "text", "ingested_at"))
+    return ngrams.mark_terms(_ngrams(spark, d).where("n = 1"), ngrams.record_count(table(spark, d, "snippets"), "id", "text", "ingested_at"))
 
 
 @R.add("p2_terms", _P2 + "SELECT term, occurrences, records, mark FROM m")
@@ -83,7 +96,7 @@ SELECT ngram, n, count(*) AS occurrences, count(DISTINCT id) AS records FROM g G
 """,
 )
 def p2_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=3)
+    return _ngrams(spark, d)
 
 
 # Problem 3
@@ -137,10 +150,14 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 # Problem 7
 
 
-def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sizes(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], DataFrame]:
     plans = table(spark, d, "pack_plans").select("plan_id", F.col("tokenizer").alias("kind"), F.col("capacity_tokens").alias("capacity"))
-    names = sorted(r.kind for r in plans.select("kind").distinct().limit(packing.MAX_PLANS).collect())
-    sizes = tokens.token_counts(_documents(spark, d), names).select("doc_id", F.col("tokenizer").alias("kind"), F.col("tokens").alias("units"))
+    names = packing.kinds(plans)
+    return plans, names, tokens.token_counts(_documents(spark, d), names).select("doc_id", F.col("tokenizer").alias("kind"), F.col("tokens").alias("units"))
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    plans, _, sizes = _sizes(spark, d)
     return packing.pack(sizes, plans), plans
 
 
@@ -149,6 +166,13 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)[0].withColumnsRenamed({"start": "start_token", "units": "tokens"})
 
 
+@R.add("p7_checked", "SELECT plan_id, true AS whole, true AS within, true AS filled FROM pack_plans")
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every token of every document is packed once, in order, no container holds more than its capacity, and 97 % of the room is used."""
+    plans, names, sizes = _sizes(spark, d)
+    return packing.checked(packing.pack(sizes, plans), sizes, plans, 0.97)
+
+
 @R.add("p7_fill")
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(*_packed(spark, d))

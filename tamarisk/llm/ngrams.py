@@ -9,6 +9,7 @@ up over batches, tasks and salts without any set in memory.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: A term: a maximal run of letters, marks and digits.
 TERM = r"[\p{L}\p{M}\p{N}]+"
-#: Shares into which the suffixes of one first term are split, by their second term or, without one, by batch.
+#: Shares into which the suffixes of one first term are split, by their second term.
 SALTS = 8
 #: Distinct suffixes that one task combines before it passes them on.
 COMBINE = 200_000
@@ -42,12 +43,12 @@ def count_ngrams(df: DataFrame, text: str = "text", max_n: int = 1) -> DataFrame
     anything in the text. Other columns are ignored. No rows give no rows.
 
     Scale: identical suffixes are combined before the shuffle, so a text repeated in a third of the rows costs one row for
-    each task; the suffixes of a hot first term go to SALTS tasks and their partial counts are added at the end.
+    each task; the suffixes of a hot first term go to up to SALTS tasks and their partial counts are added at the end.
     """
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
-        for k, batch in enumerate(batches):
+        for batch in batches:
             for words in batch.column(0).to_pylist():
                 if not words:
                     continue
@@ -67,17 +68,17 @@ def count_ngrams(df: DataFrame, text: str = "text", max_n: int = 1) -> DataFrame
                     if new:
                         counts[new] += 1
             if len(held) >= COMBINE:
-                yield flush(held, k)
+                yield flush(held)
                 held = {}
         if held:
-            yield flush(held, 0)
+            yield flush(held)
 
-    def flush(held: dict[str, list[int]], k: int) -> pa.RecordBatch:
+    def flush(held: dict[str, list[int]]) -> pa.RecordBatch:
         first, salt = [], []
         for s in held:
             head, _, tail = s.partition(" ")
             first.append(head)
-            salt.append((hash_text(tail.partition(" ")[0]) if tail else k) % SALTS)
+            salt.append(zlib.crc32(tail.partition(" ")[0].encode()) % SALTS)
         return pa.RecordBatch.from_pydict({"first": first, "salt": salt, "suffix": list(held), "counts": list(held.values())}, schema=pa.schema([("first", pa.string()), ("salt", pa.int32()), ("suffix", pa.string()), ("counts", pa.list_(pa.int64()))]))
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +129,6 @@ def count_ngrams(df: DataFrame, text: str = "text", max_n: int = 1) -> DataFrame
     return part.groupBy("ngram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def hash_text(s: str) -> int:
-    """A hash that every Python worker agrees on."""
-    h = 2166136261
-    for b in s.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return h
-
-
 def mark_terms(counts: DataFrame, records: int, rare_below: int = 3, common_above_pct: int = 24) -> DataFrame:
     """Adds ``mark``: ``rare`` for n-grams in fewer than ``rare_below`` records, else ``common`` for those in more than
     ``common_above_pct`` percent of ``records``, else null."""

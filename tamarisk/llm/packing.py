@@ -39,7 +39,7 @@ class BestFit:
             free = size + (fit & -fit).bit_length() - 1
             bin_ = self._take(free)
         else:
-            if self.open >= self.most:
+            if self.open >= self.most and size < self.capacity:  # a full item's bin is never open
                 self._take((self.bits & -self.bits).bit_length() - 1)
             free, bin_ = self.capacity, self.made
             self.made += 1
@@ -60,6 +60,17 @@ class BestFit:
         return b
 
 
+def _bounded(plans: DataFrame) -> DataFrame:
+    if not fits(plans, MAX_PLANS):
+        raise ValueError(f"more than {MAX_PLANS} plans")
+    return plans
+
+
+def kinds(plans: DataFrame) -> list[str]:
+    """The kinds of sizes that the plans pack."""
+    return sorted(r.kind for r in _bounded(plans).where("kind IS NOT NULL").select("kind").distinct().collect())
+
+
 def pack(sizes: DataFrame, plans: DataFrame, key: str = "doc_id", open_bins: int = OPEN_BINS, task_units: int = TASK_UNITS) -> DataFrame:
     """plan_id, ``key``, piece, start, units, container for every item of ``sizes`` (key, kind, units) under every plan.
 
@@ -71,9 +82,7 @@ def pack(sizes: DataFrame, plans: DataFrame, key: str = "doc_id", open_bins: int
     Scale: items are dealt by hash to as many tasks as there are ``task_units`` in all; each packs its stream in the order of
     the keys, holding ``open_bins`` bins, whatever the number of items.
     """
-    if not fits(plans, MAX_PLANS):
-        raise ValueError(f"more than {MAX_PLANS} plans")
-    wanted = [(int(r.plan_id), r.kind, int(r.capacity)) for r in plans.where("plan_id IS NOT NULL AND capacity >= 1").select("plan_id", "kind", "capacity").collect()]
+    wanted = [(int(r.plan_id), r.kind, int(r.capacity)) for r in _bounded(plans).where("plan_id IS NOT NULL AND capacity >= 1").select("plan_id", "kind", "capacity").collect()]
     spark, kind = sizes.sparkSession, dict(sizes.dtypes)[key]
     schema = f"plan_id int, `{key}` {kind}, piece int, start bigint, units bigint, container bigint"
     if not wanted:
@@ -108,3 +117,14 @@ def fill(packed: DataFrame, plans: DataFrame) -> DataFrame:
     """For each plan: containers, units packed, pieces, and the share of the room that is used."""
     per = packed.groupBy("plan_id").agg(F.countDistinct("container").alias("containers"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("pieces"))
     return plans.select("plan_id", "capacity").join(per, "plan_id").withColumn("filled", F.col("units") / (F.col("containers") * F.col("capacity")))
+
+
+def checked(packed: DataFrame, sizes: DataFrame, plans: DataFrame, filled: float, key: str = "doc_id") -> DataFrame:
+    """For each plan: ``whole`` (the pieces of every item follow each other from its first unit to its last), ``within`` (no container over its
+    capacity) and ``filled`` (at least that share of the room of all containers is used). Keys are taken to be unique."""
+    pieces = packed.groupBy("plan_id", key).agg(F.sum("units").alias("got"), F.max(F.col("start") + F.col("units")).alias("end"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"))
+    want = plans.select("plan_id", "kind").join(sizes.where("units > 0"), "kind").select("plan_id", key, "units")
+    whole = want.join(pieces, ["plan_id", key], "full").groupBy("plan_id").agg(F.min(F.coalesce((F.col("got") == F.col("units")) & (F.col("end") == F.col("units")) & (F.col("n") == F.col("last")), F.lit(False))).alias("whole"))
+    rooms = packed.groupBy("plan_id", "container").agg(F.sum("units").alias("u")).groupBy("plan_id").agg(F.max("u").alias("most"), F.sum("u").alias("u"), F.count(F.lit(1)).alias("c"))
+    out = plans.select("plan_id", "capacity").join(whole, "plan_id").join(rooms, "plan_id")
+    return out.select("plan_id", "whole", (F.col("most") <= F.col("capacity")).alias("within"), (F.col("u") >= F.lit(filled) * F.col("c") * F.col("capacity")).alias("filled"))

@@ -68,13 +68,15 @@ _PHONE_AFTER = re.compile(r"(?i)^ (?:is (?:the|my|our) (?:new )?(?:number|phone|
 
 # Addresses
 
+# Nouns with which street, road and the like form a common word, so that a number before them counts things.
+_COMPOUND = "stalls?|food|trips?|snacks?|art|artists?|vendors?|musicians?|markets?|signs?|lamps?|lights?|maps?|tolls?|works?|closures?|races?|dogs?|shows?|parties|names?|corners?|performers?|caf[eé]s?"
 _W = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _TOWN = r"[A-ZÀ-ÞА-Я][^\W\d_]+(?:[ ][A-ZÀ-Þ][^\W\d_]+)?"
 _TAIL = rf"(?:(?-i:,\s*\d{{4,5}}\s+{_TOWN}|,?\s+{_TOWN}\s+\d{{4,5}}(?!\d)|,[ \t]+(?!Apt|Tel|My|The|I |And|But){_TOWN}))?"
 _STREET = re.compile(
     rf"""(?xi)\d(?<![\w.\-/@]\d)(?:
       (?P<en>\d{{0,3}}[a-z]?(?:-\d{{1,4}})?[  \t]+(?:(?:north|south|east|west|old|new|upper|lower|great|little|[nsew]\.)[  \t]+)?(?!(?:street|road|lane|avenue|court|the|a|of|km|and)\b){_W}[  \t]+
-          (?:street|str?|road|rd|lane|ln|avenue|ave?|boulevard|blvd|court|ct|close|drive|way|place|pl|square|sq|terrace|crescent|alley)(?![\w])(?:\.(?=[,.;]|[ ](?-i:[a-z])))?(?![ ](?:stalls|food|trips|snacks))
+          (?:street|str?|road|rd|lane|ln|avenue|ave?|boulevard|blvd|court|ct|close|drive|way|place|pl|square|sq|terrace|crescent|alley)(?![\w])(?:\.(?=[,.;]|[ ](?-i:[a-z])))?(?![ ](?:{_COMPOUND})\b)
           (?:,?[ \t]*(?:apt|flat|unit|suite|room)\.?[ \t]*\w{{1,4}})?{_TAIL})
     | (?P<fr>\d{{0,3}}(?:[ ]?(?:bis|ter))?,?[  ]+(?-i:rue|avenue|av\.|boulevard|bd|impasse|chemin|place|quai|allée|cours|route|RUE|AVENUE)[  ]+(?:de[ ]la[ ]|de[ ]l['’]|des[ ]|du[ ]|de[ ]|d['’])?(?-i:[A-ZÀ-Þ])[^\W\d_]*(?:[ -](?-i:[A-ZÀ-Þ])[^\W\d_]+)?{_TAIL})
     )"""
@@ -128,8 +130,11 @@ PLACE_AFTER = frozenset("falls ridge bay valley museum gardens garden lake islan
 NO_NAME = frozenset(
     "the a an and or but if at in on of to for from with by as is it its we you they he she i my our your their this that these those there here not no yes dear hi hello hey all list team thanks thank best regards signed please ask tell send call text note notes tip update subject re fwd cc bcc author worker employee photo next contact person guide guest pt patient voucher according between after before around every some most many one two first last once more "
     "mon tue wed thu fri sat sun monday tuesday wednesday thursday friday saturday sunday jan feb mar apr may jun jul aug sep oct nov dec hours total week todo error warning info debug trace failed passed downloading traceback apt tel id ssn dni "
-    "el la los las un una y o de del en por para se según quien entre dormimos no las le les un une des du et à au aux on depuis construit der die das ein eine und oder von wer im am zu auf titular consultas reservas llamar passeport anmeldung ausweisnummer fragen réservations écrire".split()
+    "el la los las un una y o de del en por para se según quien entre no las le les un une des du et à au aux on depuis der die das ein eine und oder von wer im am zu auf titular consultas reservas llamar passeport anmeldung ausweisnummer fragen réservations écrire".split()
 )
+#: Verbs with which a sentence may begin: the first person plural of Spanish by its ending, and words for what was built or is found.
+_VERB = re.compile(r"[a-záéíóú]{2,}(?:amos|emos|imos)|built|founded|opened|seen|visit|construit\w*|fondée?|ouvert\w*|construid[oa]s?|fundad[oa]s?|abiert[oa]s?|visit[ée]\w*|gebaut|erbaut|gegründet|besuchen?|построен\w*")
+MONTHS = frozenset("january february march april may june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janvier février mars avril mai juin juillet août septembre octobre novembre décembre januar februar märz juni juli oktober dezember".split())
 _SPACE = r"(?:[ \t   ])+"
 _GAP = re.compile(rf"(?:{_SPACE}|­)$")
 _DOT_GAP = re.compile(rf"\.{_SPACE}?$|\.$")
@@ -138,7 +143,9 @@ _UNIT = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CUE_BEFORE = re.compile(
     r"(?i)(?:approved by|referred by|signed-off-by:|reviewed-by:|reported by|written by|photo by|worker:|author:|from:|to:|next of kin:|voucher holder|ticket was issued to|issued to|correct the entry of|entry of|the card of|card of|parcel for|ask for|according to|keys back to|(?:our|the|your) guide|la guía|el guía|we asked|contact person:|signed,|regards,|cheers,|preguntar por|titular|au nom de|auprès de|ausgestellt auf|anmeldung bei|name:|patient|\bpt)\s+$"
 )
-_CUE_AFTER = re.compile(r"(?i)^(?:\s+/\s+SSN|\s+can be reached|\s+wrote that|\s+meets the group|\s+espera en|\s*<[^>\s]+@|,\s+(?:passport|social security|DNI|id)\b|\s+/\s+id\b|\s+\([^)\s]+@)")
+#: What people and no things do, after their name.
+_DOES = r"can be reached|will (?:call|meet|wait|write|reply|sign)|has (?:asked|written|called|confirmed|replied|signed)|is (?:waiting|away|on leave|on holiday)|was (?:born|hired)|said|says|wrote|writes|asked|asks|called|calls|told|tells|meets|met|waits|lives|answered|replied|confirmed|signed|(?:le |la |les |lo )?(?:espera|dijo|escribió|llamó|preguntó|vive|atiende|confirmó)|(?:vous )?(?:attend|écrit|appelle|habite|confirme)|(?:a )(?:dit|écrit|confirmé)|sagte|schrieb|wartet|wohnt"
+_CUE_AFTER = re.compile(rf"(?i)^(?:\s+/\s+(?:SSN|id|DNI)\b|\s+(?:{_DOES})\b|\s*<[^>\s]+@|,\s+(?:passport|social security|DNI|id|tel|born|aged)\b|\s+\([^)\s]+@)")
 
 
 @dataclass(frozen=True)
@@ -177,7 +184,7 @@ def find_names(text: str, known: frozenset[str], taken: Callable[[int, int], boo
 
     def able(w: str) -> bool:
         low = w.lower()
-        return _capital(w) and low not in NO_NAME and low not in TITLES and not any(p in PLACE_AFTER for p in low.split("-")) and (is_known(w) or not _like(low, PLACE_BEFORE))
+        return _capital(w) and low not in NO_NAME and low not in TITLES and not (_VERB.fullmatch(low) and low not in known) and not any(p in PLACE_AFTER for p in low.split("-")) and (is_known(w) or not _like(low, PLACE_BEFORE))
 
     def initial(i: int) -> bool:
         w = units[i][2]
@@ -186,7 +193,7 @@ def find_names(text: str, known: frozenset[str], taken: Callable[[int, int], boo
     def place(i: int, k: int) -> bool:
         if i and _GAP.match(gap(i - 1)):
             before = units[i - 1][2].lower()
-            if _like(before, PLACE_BEFORE) or (before in ("de", "of", "d", "la", "du") and i > 1 and units[i - 2][2].lower() in (PLACE_BEFORE | {"abril"})):
+            if _like(before, PLACE_BEFORE) or (before in ("de", "of", "d", "la", "du") and i > 1 and units[i - 2][2].lower() in (PLACE_BEFORE | MONTHS)):
                 return True
         return k + 1 < n and bool(_GAP.match(gap(k))) and _like(units[k + 1][2].lower(), PLACE_AFTER) and units[k + 1][2][0].isupper()
 

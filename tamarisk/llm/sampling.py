@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.plans.scale import checkpoint, lookup
+from tamarisk.plans.scale import lookup, written
 
 #: Strata are hashed to so many, which bounds the quota table by plans x classes x STRATA cells.
 STRATA = 32
@@ -69,6 +69,8 @@ def round_table(cells: dict[tuple[str, int], Fraction]) -> dict[tuple[str, int],
         for r in sorted(left):
             while left[r] and push(r, room):
                 left[r] -= 1
+    if any(left.values()):
+        raise AssertionError(f"no whole table: {left}")
     for c, rs in used.items():
         for r in rs:
             whole[r, c] += 1
@@ -122,19 +124,22 @@ def draw(recs: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     KEY_RANGES ranges of the random key give the range in which the quota ends; smaller ranges are taken whole and only
     that range is ranked, so a class with a third of all rows needs no large sort.
     """
-    recs = checkpoint(recs)
+    return _draw(written(recs), targets, seed)
+
+
+def _draw(recs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     cells, want = requests(recs, targets)
     table = want.select("plan_id", "table_name", "class_key", "requested", "available").join(cells, ["table_name", "class_key"])
     quotas = table.groupBy("plan_id").applyInPandas(_quotas, "plan_id int, table_name string, class_key string, stratum int, quota long").where("quota > 0")
     on = ["table_name", "class_key", "stratum"]
     # One row per cell with the quotas of all plans, so that the join stays unique on its key.
-    per_cell = checkpoint(quotas.groupBy(*on).agg(F.collect_list(F.struct("plan_id", "quota")).alias("q")))
+    per_cell = written(quotas.groupBy(*on).agg(F.collect_list(F.struct("plan_id", "quota")).alias("q")))
     keyed = lookup(recs, per_cell, on, "inner").select(*on, "key", F.explode("q").alias("q")).select("q.plan_id", *on, "key", "q.quota")
     keyed = keyed.withColumn("rnd", F.xxhash64(F.lit(seed), "plan_id", "key")).withColumn("part", F.shiftrightunsigned("rnd", 52).cast("int"))
     cell = ["plan_id", *on]
     counts = keyed.groupBy(*cell, "part", "quota").agg(F.count(F.lit(1)).alias("m"))
     upto = F.expr("sum(m) OVER (PARTITION BY plan_id, table_name, class_key, stratum ORDER BY part)")
-    edge = checkpoint(counts.withColumn("upto", upto).where("upto >= quota AND upto - m < quota").select(*cell, F.col("part").alias("edge"), (F.col("quota") - F.col("upto") + F.col("m")).alias("rest")))
+    edge = written(counts.withColumn("upto", upto).where("upto >= quota AND upto - m < quota").select(*cell, F.col("part").alias("edge"), (F.col("quota") - F.col("upto") + F.col("m")).alias("rest")))
     marked = lookup(keyed, edge, cell, "inner")
     inside = marked.where("part < edge").select("plan_id", "table_name", "key", "class_key")
     rank = F.expr("row_number() OVER (PARTITION BY plan_id, table_name, class_key, stratum ORDER BY rnd, key)")
@@ -145,9 +150,24 @@ def draw(recs: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
 def report(recs: DataFrame, targets: DataFrame, drawn: DataFrame | None = None, seed: int = 11) -> DataFrame:
     """One row for each plan's class: rows requested, available and drawn, ``met`` false where fewer were drawn than requested.
 
-    ``drawn`` are the rows counted in the sample itself.
+    ``drawn`` are the rows counted in the sample itself. The records are read once, for the sample and the requests.
     """
-    got = (draw(recs, targets, seed) if drawn is None else drawn).groupBy("plan_id", "class_key").agg(F.count(F.lit(1)).alias("drawn"))
+    recs = written(recs)
+    got = (_draw(recs, targets, seed) if drawn is None else drawn).groupBy("plan_id", "class_key").agg(F.count(F.lit(1)).alias("drawn"))
     want = requests(recs, targets)[1]
     out = want.join(got, ["plan_id", "class_key"], "left").fillna(0, ["drawn"])
     return out.select("plan_id", "table_name", F.col("class"), "target_pct", "min_rows", "requested", "available", "drawn", (F.col("drawn") >= F.col("requested")).alias("met"))
+
+
+def margins(recs: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
+    """plan_id, class and stratum sums of a sample against what was asked: ``classes`` (every class has the rows it can give) and ``strata`` (every
+    stratum has its share of the plan's rows, rounded down or up)."""
+    recs = written(recs)
+    cells, want = requests(recs, targets)
+    share = want.join(cells, ["table_name", "class_key"]).select("plan_id", "class_key", "stratum", (F.least("requested", "available") * F.col("n") / F.col("available")).alias("share"))
+    strata = drawn.join(recs.select("table_name", "key", "stratum"), ["table_name", "key"]).groupBy("plan_id", "stratum").agg(F.count(F.lit(1)).alias("got"))
+    columns = share.groupBy("plan_id", "stratum").agg(F.sum("share").alias("share")).join(strata, ["plan_id", "stratum"], "left").fillna(0, ["got"])
+    strata_ok = columns.groupBy("plan_id").agg(F.min(F.abs(F.col("got") - F.col("share")) < 1 + 1e-6).alias("strata"))
+    got = drawn.groupBy("plan_id", "class_key").agg(F.count(F.lit(1)).alias("got"), F.countDistinct("key").alias("keys"))
+    classes = want.join(got, ["plan_id", "class_key"], "left").fillna(0, ["got", "keys"]).groupBy("plan_id").agg(F.min((F.col("got") == F.least("requested", "available")) & (F.col("got") == F.col("keys"))).alias("classes"))
+    return classes.join(strata_ok, "plan_id", "left").select("plan_id", "classes", F.coalesce("strata", F.lit(True)).alias("strata"))
