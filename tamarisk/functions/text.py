@@ -138,25 +138,21 @@ def numeric_suffix(x: Str) -> Column:
     return F.when(n == 0, F.lit("0K")).otherwise(F.concat(trimmed, F.element_at(F.array(*[F.lit(s) for s in ("", "K", "M", "G", "T", "P", "E")]), power + 1)))
 
 
-_LONG = re.compile(r"\b(\d{4,19})\b(?!\.)")
-
-
-def suffixed(number: str) -> str:
-    n = float(number)
-    if not n:
-        return "0K"
-    power = min(int(math.log(n) / math.log(1024)), 6)
-    return re.sub(r"(\.[1-9]+)0+$", r"\1", re.sub(r"\.0+$", "", f"{n / 1024**power:.6f}")) + ("", "K", "M", "G", "T", "P", "E")[power]
+#: Numbers that are shortened: of 4 to 19 digits, no part of a word or of a number with a point after it.
+LONG_NUMBER = r"\b\d{4,19}\b(?!\.)"
 
 
 def suffix_numbers(x: Str, once: bool = False) -> Column:
-    """Every number of 4 to 19 digits in a text with a base-1024 suffix; ``once``: only the first of each line."""
+    """Every number of 4 to 19 digits in a text as ``numeric_suffix`` writes it; ``once``: only the first of each line."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else "\n".join(_LONG.sub(lambda m: suffixed(m.group(1)), line, count=int(once)) for line in t.split("\n")))
+    def line_of(line: Column) -> Column:
+        between = F.split(line, LONG_NUMBER, 2 if once else -1)
+        found = F.regexp_extract_all(line, F.lit(LONG_NUMBER), F.lit(0))
+        # The k-th number stands before the k-th of the texts that follow the first.
+        tail = F.transform(F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0))), lambda t, k: F.concat(numeric_suffix(F.get(found, k)), t))
+        return F.concat(F.element_at(between, 1), F.array_join(tail, ""))
 
-    return run(_c(x))
+    return F.array_join(F.transform(F.split(_c(x), "\n", -1), line_of), "\n")
 
 
 def strip_symbols(x: Str, by: str = "") -> Column:
@@ -316,6 +312,7 @@ def clean(x: Str) -> Column:
 
     Only the five entities and the blank are decoded here; ``unescape_html`` before it decodes all.
     """
+    # Fixed value: what counts as a tag.
     c = F.regexp_replace(_c(x), r"<[^<]+?>", " ")
     c = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
     c = F.translate(unescape_basic(c), "“”‘’", "\"\"''")

@@ -12,15 +12,23 @@ from tamarisk.plans.scale import checkpoint
 # Log refinement
 
 
+#: What a terminal takes as a command and does not show, by the grammar of its standard (ECMA-48): control sequences, control strings, and
+#: the other sequences that begin with the escape character.
+COMMANDS = r"\x1b(?:\[[0-?]*[ -/]*[@-~]|[\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\)|[ -/]+[0-~]|[0-OQ-WYZ\\`-~])"
+_SILENT = "\x07\x1b"
+
+
 def collapsed(line: Column | str) -> Column:
-    """A terminal line as it ends up: the text after the last carriage return, without escape sequences, backspaces applied."""
-    c = F.regexp_replace(F.col(line) if isinstance(line, str) else line, r"\r+$", "")
-    c = F.regexp_replace(c, r"(?s)^.*\r", "")
-    c = F.regexp_replace(c, r"\x1b\].*?(?:\x07|\x1b\\)", "")
-    c = F.regexp_replace(c, r"\x1b\[[0-9;?]*[A-Za-z@~]", "")
-    erased = F.size(F.split(c, "\\x08", -1)) - 1
-    c = F.when(erased > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(erased, F.lit(1))), c, lambda a, _: F.regexp_replace(a, "[^\\x08]\\x08", ""))).otherwise(c)
-    return F.regexp_replace(c, r"[\x07\x08\x1b]", "")
+    """A terminal line as it ends up: commands taken out, what follows the last carriage return that has text after it, and each backspace
+    taking the character before it.
+
+    The pieces between backspaces are joined one by one, each to what is left of those before it, so the work grows with the line.
+    """
+    shown = F.regexp_replace(F.col(line) if isinstance(line, str) else line, COMMANDS, "")
+    returned = F.element_at(F.split(F.rtrim(shown, F.lit("\r")), "\r", -1), -1)
+    pieces = F.split(F.translate(returned, _SILENT, ""), "\b", -1)
+    first, others = F.element_at(pieces, 1), F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.aggregate(others, first, lambda kept, piece: F.concat(F.left(kept, F.greatest(F.length(kept) - 1, F.lit(0))), piece))
 
 
 def collapse(lines: DataFrame) -> DataFrame:
@@ -103,6 +111,8 @@ def time_totals(times: DataFrame, key: str = "doc_id") -> DataFrame:
 
 # Test logs
 
+# Fixed value: the form of a summary line, a row of counts between equals signs.
+SUMMARY = "= .*(passed|failed|skipped).* ="
 COUNTS = ("passed", "failed", "skipped", "xfailed", "xpassed")
 
 
@@ -111,7 +121,7 @@ def test_summaries(lines: DataFrame, key: str = "doc_id", combine: bool = False,
 
     total is passed and failed (``treat_x``: and xfailed and xpassed); ok_pct their passed share, at most 100, 0 without tests.
     """
-    rows = lines.where(F.col("line").rlike("= .*(passed|failed|skipped).* ="))
+    rows = lines.where(F.col("line").rlike(SUMMARY))
     number = lambda p: F.coalesce(F.nullif(F.regexp_extract("line", p, 1), F.lit("")).try_cast("double"), F.lit(0.0))
     parsed = rows.select(key, "line_no", *[number(rf"([0-9]+) {c}").cast("long").alias(c) for c in COUNTS], number(r"in ([0-9.]+) ?s").alias("duration"))
     fields = [*COUNTS, "duration"]

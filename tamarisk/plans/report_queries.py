@@ -17,11 +17,11 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.numbered(spread(table(spark, d, "documents"), "doc_id"))
 
 
-@R.add(
-    "log_collapsed",
-    rf"""WITH {_LINES}, c AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\r+$', ''), '(?s)^.*\r', ''), '\x1b\].*?(?:\x07|\x1b\\)', '', 'g'), '\x1b\[[0-9;?]*[A-Za-z@~]', '', 'g'), '[\x07\x1b]', '', 'g') AS line FROM l WHERE NOT regexp_full_match(line, '[ \t\r\n]*') AND NOT contains(line, chr(8)))
-SELECT * FROM c WHERE NOT regexp_full_match(line, '[ \t\r\n]*')""",
-)
+_COLLAPSED = rf"""{_LINES}, sh AS (SELECT doc_id, line_no, translate(string_split(rtrim(regexp_replace(line, '{reports.COMMANDS}', '', 'g'), chr(13)), chr(13))[-1], chr(7) || chr(27), '') AS line FROM l WHERE NOT regexp_full_match(line, '[ \t\r\n]*')),
+c AS (SELECT doc_id, line_no, CASE WHEN contains(line, chr(8)) THEN list_reduce(list_prepend('', string_split(line, '')), lambda a, x: CASE WHEN x = chr(8) THEN left(a, greatest(length(a) - 1, 0)) ELSE a || x END) ELSE line END AS line FROM sh)"""
+
+
+@R.add("log_collapsed", f"WITH {_COLLAPSED} SELECT * FROM c WHERE NOT regexp_full_match(line, '[ \\t\\r\\n]*')")
 def log_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return reports.collapse(_lines(spark, d))
 

@@ -230,7 +230,7 @@ def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
     return matrix.gram(table(spark, d, "embeddings"), "embedding", 64).withColumn("v", F.round("v", 4))
 
 
-@R.add("resolved_terms", f"WITH {_IDX}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM idx)) SELECT doc_id, id, term, tf FROM idx JOIN v USING (term) WHERE tf >= 10")
+@R.add("resolved_terms", f"WITH {_IDX}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT term FROM idx)) SELECT doc_id, id, term, tf FROM idx JOIN v USING (term)")
 def resolved_terms(spark: SparkSession, d: str) -> DataFrame:
     idx = _index(spark, d)
     return lookup(idx, columns.ids_by_name(idx, "term"), ["term"], "inner").select("doc_id", "id", "term", "tf")

@@ -55,7 +55,7 @@ w AS (SELECT doc_id, ngram, tf, df, round(tf / doc_len, 6) AS tf_basic, round(1
 """
 
 
-@R.add("tfidf_weightings", _grams_sql("1", False) + _W + "SELECT * FROM w WHERE df BETWEEN 2 AND 3")
+@R.add("tfidf_weightings", _grams_sql("1", False) + _W + "SELECT * FROM w")
 def tfidf_weightings(spark: SparkSession, d: str) -> DataFrame:
     docs, n = _docs(spark, d)
     w = tfidf.weights(tfidf.frequencies(docs, (1,)), n)
@@ -88,7 +88,7 @@ _OVERLAP = """ OR len(list_filter(range(1, least(len(a.w), len(b.w)) + 1), lambd
 @R.add(
     "tfidf_pruned_terms",
     _grams_sql("1, 2, 3", True)
-    + f""", t AS (SELECT doc_id, ngram, score, rank, string_split(ngram, ' ') AS w FROM top WHERE rank <= 20),
+    + f""", t AS (SELECT doc_id, ngram, score, rank, string_split(ngram, ' ') AS w FROM top WHERE rank <= 100),
 k AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id = a.doc_id AND b.rank < a.rank AND ({_CLASH}{_OVERLAP})))
 SELECT doc_id, ngram, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS rank FROM k""",
 )
@@ -100,7 +100,7 @@ def tfidf_pruned_terms(spark: SparkSession, d: str) -> DataFrame:
 @R.add(
     "tfidf_boosted_terms",
     _grams_sql("2", False)
-    + f""", t AS (SELECT doc_id, ngram, string_split(ngram, ' ') AS w, score FROM top WHERE rank <= 20),
+    + f""", t AS (SELECT doc_id, ngram, string_split(ngram, ' ') AS w, score FROM top WHERE rank <= 100),
 b AS (SELECT doc_id, ngram, score
   * CASE WHEN list_has_any(w, ['museum', 'bridge']) THEN 2.0 ELSE 1.0 END * CASE WHEN list_has_any(w, ['once']) THEN 0.5 ELSE 1.0 END
   * CASE WHEN len(list_filter(w, lambda x: try_cast(x AS DOUBLE) IS NOT NULL)) > 0 THEN 0.25 ELSE 1.0 END
