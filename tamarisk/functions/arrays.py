@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,13 +58,14 @@ def append_new(a: Col, item: Col) -> Column:
     return F.when(F.array_contains(_c(a), _c(item)), _c(a)).otherwise(F.array_append(_c(a), _c(item)))
 
 
-def unique(a: Col, ignore_case: bool = False, prune_empty: bool = False) -> Column:
-    """Distinct items in order of first occurrence; ``ignore_case``: the first spelling stays."""
+def unique(a: Col, ignore_case: bool = False, prune_empty: bool = False, key: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct items in order of first occurrence; ``ignore_case``: the first spelling stays; ``key``: items are the same if it is."""
     c = F.filter(_c(a), lambda x: x != "") if prune_empty else _c(a)
-    if not ignore_case:
+    key = key or (F.lower if ignore_case else None)
+    if key is None:
         return F.array_distinct(c)
-    low = F.transform(c, F.lower)
-    return F.filter(c, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    keys = F.transform(c, key)
+    return F.filter(c, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
 def exactly_one(a: Col, zero_ok: bool = False) -> Column:

@@ -48,3 +48,13 @@ def short_weekday(x: Col) -> Column:
 def transcript_time(x: Col) -> Column:
     """``H:MM:SS`` without leading ``00:`` and then without one leading zero."""
     return F.regexp_replace(F.regexp_replace(_c(x), "^00:", ""), "^0", "")
+
+
+def shown(x: Col | None = None) -> Column:
+    """``2024-01-05 17:30:00`` of a timestamp, by default of now."""
+    return F.date_format(F.current_timestamp() if x is None else _c(x), "yyyy-MM-dd HH:mm:ss")
+
+
+def seconds(x: Col | None = None) -> Column:
+    """Whole seconds since 1970 of a timestamp in the session's zone, by default of now."""
+    return F.unix_seconds((F.current_timestamp() if x is None else _c(x)).cast("timestamp"))

@@ -86,3 +86,13 @@ def rgb(x: Num) -> Column:
 def min_max(x: Num, low: Column, high: Column) -> Column:
     """Scaled to 0..1; 1 if all values are equal."""
     return F.when(high == low, F.lit(1.0)).otherwise((_c(x) - low) / (high - low))
+
+
+def random_int(low: int, high: int, seed: int = 17) -> Column:
+    """A whole number from ``low`` to ``high``, both included."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("bigint")
+
+
+def random_float(low: float = 0.0, high: float = 1.0, seed: int = 17) -> Column:
+    """A number from ``low`` on, below ``high``."""
+    return F.rand(seed) * (high - low) + low

@@ -71,9 +71,10 @@ def strip_comment(x: Str) -> Column:
 def is_numeric(x: Str) -> Column:
     """True iff the text reads as a floating-point number, blanks around it allowed; false for null.
 
-    ``nan`` and ``inf`` are numbers; digits with underscores are not.
+    ``nan`` and ``inf`` are numbers; digits with underscores, Java's suffixes (``1d``) and hexadecimals are not.
     """
-    return F.trim(_c(x)).try_cast("double").isNotNull()
+    c = _c(x)
+    return F.coalesce(~c.rlike(r"(?i)x|[0-9.][df]\s*$") & c.try_cast("double").isNotNull(), F.lit(False))
 
 
 def all_punct(x: Str) -> Column:

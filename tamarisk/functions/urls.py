@@ -16,7 +16,7 @@ def quote(x: Col, idempotent: bool = False) -> Column:
     """Percent-encoded with ``+`` for blanks; ``idempotent``: what is already encoded stays."""
     c = F.url_encode(_c(x))
     c = F.replace(c, F.lit("*"), F.lit("%2A"))
-    return F.replace(F.replace(c, F.lit("%25"), F.lit("%")), F.lit("%2B"), F.lit("+")) if idempotent else c
+    return F.replace(F.replace(c, F.lit("%2B"), F.lit("+")), F.lit("%25"), F.lit("%")) if idempotent else c
 
 
 def unquote(x: Col) -> Column:
@@ -39,3 +39,14 @@ def param(url: Col, name: str, default: str = "") -> Column:
 def misc_params(text: Col) -> Column:
     """``k=v, k2=v2`` as a map."""
     return F.transform_values(F.transform_keys(F.str_to_map(_c(text), F.lit(","), F.lit("=")), lambda k, _: F.trim(k)), lambda _, v: F.trim(v))
+
+
+def param_bool(url: Col, name: str, default: bool = False) -> Column:
+    """True for ``1``, ``on``, ``true``, ``yes`` and ``y`` in any case."""
+    v = F.try_element_at(params(url), F.lit(name.replace("-", "_")))
+    return F.when(v.isNull(), F.lit(default)).otherwise(F.lower(v).isin("1", "on", "true", "yes", "y"))
+
+
+def param_number(url: Col, name: str, default: float = 0, kind: str = "int") -> Column:
+    """The parameter as ``int`` or ``double``, ``default`` where it is none."""
+    return F.coalesce(F.try_element_at(params(url), F.lit(name.replace("-", "_"))).try_cast(kind), F.lit(default).cast(kind))

@@ -150,5 +150,12 @@ def describe_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(stats.alias("s")).select(F.inline("s"))
 
 
+def shown_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first ``n``, the last ``n`` and ``n`` hash-chosen rows by a unique key, each with its ``part``: head, tail or sample. Three bounded top-k scans."""
+    digest = F.md5(F.col(key).cast("string"))
+    parts = [df.orderBy(key).limit(n).withColumn("part", F.lit("head")), df.orderBy(F.desc(key)).limit(n).withColumn("part", F.lit("tail")), df.orderBy(digest, key).limit(n).withColumn("part", F.lit("sample"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def as_column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x

@@ -85,3 +85,29 @@ def trailing_split(df: DataFrame, order: str, percent: float) -> DataFrame:
             break
     cut = lo if lo is not None else 0
     return df.withColumn("part", F.when(F.col(order) <= cut if keep > 0 else F.lit(False), "train").otherwise("test"))
+
+
+def threshold_sweep(df: DataFrame, actual: Column, score: Column, thresholds: Sequence[float]) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall and f1 of calling true what scores at least each threshold; one pass, one row for each."""
+    known = df.select(actual.cast("int").alias("a"), score.alias("s")).where("a IS NOT NULL AND s IS NOT NULL")
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count(F.when((F.col("s") >= t) & (F.col("a") == 1), 1)).alias("tp"), F.count(F.when((F.col("s") >= t) & (F.col("a") == 0), 1)).alias("fp"), F.count(F.when((F.col("s") < t) & (F.col("a") == 1), 1)).alias("fn")) for t in thresholds])
+    r = known.agg(rows.alias("r")).select(F.inline("r"))
+    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return r.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
+def mean_scores(report: DataFrame) -> DataFrame:
+    """Means of precision, recall and f1 over the classes of ``class_report``, plain (macro) and by support (weighted)."""
+    means = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return report.agg(F.count(F.lit(1)).alias("classes"), *means, *weighted)
+
+
+def anova(df: DataFrame, y: str, group: str) -> DataFrame:
+    """One row: groups, n, between and within (sums of squares), f and its degrees of freedom. One aggregation by group, one over the groups; rows with a
+    null are left out."""
+    g = df.where(F.col(y).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    t = g.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"))
+    df1, df2 = F.col("groups") - 1, F.col("n") - F.col("groups")
+    return t.withColumns({"df_between": df1, "df_within": df2, "f": F.when((df1 > 0) & (df2 > 0) & (F.col("within") > 0), (F.col("between") / df1) / (F.col("within") / df2))})

@@ -100,3 +100,43 @@ def sections(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     header = F.when(line.rlike(r"^\[.*\]$"), line)
     marked = carry_forward(lines, header, "section", "", key)
     return marked.where(~line.rlike(r"^\[.*\]$") & line.contains("=")).select(key, "line_no", "section", F.trim(F.substring_index(line, "=", 1)).alias("name"), F.trim(F.regexp_replace(line, "^[^=]*=", "")).alias("value"))
+
+
+def without_keys(settings: DataFrame, skip: list[str]) -> DataFrame:
+    """Settings whose name is in no list of names to skip, in any case."""
+    return settings.where(~F.lower("name").isin(*[x.lower() for x in skip]))
+
+
+# Containments: a desktop's settings as tables
+
+
+def properties(settings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, containment, applet, path, name, value of INI settings under headers such as ``[Containments][8][Applets][21][General]``.
+
+    containment and applet are the numbers in the header, null where it has none; path is the rest of the header.
+    """
+    header = r"^\[Containments\]\[(\d+)\](?:\[Applets\]\[(\d+)\])?"
+    part = lambda k: F.nullif(F.regexp_extract("section", header, k), F.lit("")).cast("bigint")
+    return settings.select(key, part(1).alias("containment"), part(2).alias("applet"), F.regexp_replace("section", header, "").alias("path"), "name", "value")
+
+
+def applets(props: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, containment, applet, plugin of every applet, and the plugin of the containment it is in (one join on the number)."""
+    top = props.where("path = '' AND name = 'plugin'")
+    inner = top.where("applet IS NOT NULL").select(key, "containment", "applet", F.col("value").alias("plugin"))
+    outer = top.where("applet IS NULL AND containment IS NOT NULL").select(key, "containment", F.col("value").alias("within"))
+    return inner.join(outer, [key, "containment"], "left")
+
+
+def references(props: DataFrame, name: str = "SystrayContainmentId", key: str = "doc_id") -> DataFrame:
+    """``key``, containment, applet, target and target_plugin of settings that name a containment by its number, such as that of a system tray."""
+    given = props.where(F.col("name") == name).select(key, "containment", "applet", F.col("value").try_cast("bigint").alias("target"))
+    known = props.where("path = '' AND name = 'plugin' AND applet IS NULL AND containment IS NOT NULL").select(key, F.col("containment").alias("target"), F.col("value").alias("target_plugin"))
+    return given.join(known, [key, "target"], "left")
+
+
+def as_settings(props: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, section, name, value: the settings that ``properties`` came from, to check that none is lost."""
+    c = F.when(F.col("containment").isNotNull(), F.concat(F.lit("[Containments]["), F.col("containment").cast("string"), F.lit("]"))).otherwise("")
+    a = F.when(F.col("applet").isNotNull(), F.concat(F.lit("[Applets]["), F.col("applet").cast("string"), F.lit("]"))).otherwise("")
+    return props.select(key, F.concat(c, a, "path").alias("section"), "name", "value")

@@ -172,3 +172,11 @@ def dependencies(reports_: DataFrame, column: str = "json") -> DataFrame:
     schema = "install array<struct<metadata: struct<name: string, requires_dist: array<string>>>>"
     items = reports_.select(F.explode(F.from_json(column, schema)["install"]["metadata"]).alias("m"))
     return items.select("m.name", F.explode_outer("m.requires_dist").alias("requires"))
+
+
+def device_rows(df: DataFrame, column: str = "text") -> DataFrame:
+    """(title, width, height, ratio) of the device descriptions in a text of JSON-like blocks, in any order of the fields; absent numbers are null."""
+    blocks = F.filter(F.split(F.col(column), r"(?=\"title\"\s*:)"), lambda b: b.contains('"title"'))
+    b = df.select(F.explode(blocks).alias("b"))
+    number = lambda name, kind: F.regexp_extract("b", rf'"{name}"\s*:\s*([0-9.]+)', 1).try_cast(kind)
+    return b.select(F.regexp_extract("b", r'"title"\s*:\s*"([^"]*)"', 1).alias("title"), number("width", "int").alias("width"), number("height", "int").alias("height"), number("device-pixel-ratio", "double").alias("ratio"))

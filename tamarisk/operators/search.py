@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.operators.tfidf import document_counts
@@ -26,6 +26,12 @@ def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.explode_outer(terms(text)).alias("term")).where("term IS NOT NULL").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def index_counts(index: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The index as counts for ``tfidf``: ``key``, ngram, tf and doc_len, the number of words of the document."""
+    length = F.sum("tf").over(Window.partitionBy(key))
+    return index.select(key, F.col("term").alias("ngram"), "tf", length.alias("doc_len"))
+
+
 def boolean_search(index: DataFrame, words: list[str], conjunctive: bool = False, key: str = "doc_id") -> DataFrame:
     """``key`` and matched (number of the words it holds) of documents with any, or all, of the words."""
     w = sorted({x.lower() for x in words})

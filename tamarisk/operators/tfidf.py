@@ -209,3 +209,18 @@ def score_of(tf: DataFrame, n: int, term: str, key: str = "doc_id") -> DataFrame
     rows = tf.where(F.col("ngram") == term)
     df = rows.agg(F.count(F.lit(1))).scalar()
     return rows.select(key, (tf_weight("basic") * F.log(F.lit(float(n)) / df)).alias("score"))
+
+
+def capitals_first(terms: DataFrame, key: str, term: str = "term", score: str = "score") -> DataFrame:
+    """Adds rank by score within ``key``; of equal scores terms in title case (stop words within them aside) come first, then the smaller term."""
+    title = arrays.title_case_ngram(F.split(term, " "), list(STOP_WORDS))
+    ranked = terms.withColumn("__t", F.coalesce(title, F.lit(False)))
+    return ranked.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY `{key}` ORDER BY round(`{score}`, 9) DESC, __t DESC, `{term}`)")).drop("__t")
+
+
+def counted_terms(docs: DataFrame, sizes: Sequence[int] = (1, 2), key: str = "doc_id", column: str = "text", lower: bool = True) -> DataFrame:
+    """(``key``, term, n) of runs of words of two characters or more, as a count vectorizer sees them: no clauses, no cleaning."""
+    words = F.regexp_extract_all(F.lower(column) if lower else F.col(column), F.lit("[A-Za-z0-9_]{2,}"), F.lit(0))
+    # The array goes through a lambda, so that it is made once and not for every window.
+    grams = F.flatten(F.transform(F.array(words), lambda ws: F.concat(*[F.transform(arrays.windows(ws, n), lambda g: F.array_join(g, " ")) for n in sizes])))
+    return docs.select(key, F.explode_outer(grams).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
