@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -57,6 +58,103 @@ def labelled_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tabular.read_labelled(spark, at)
 
 
+@R.add("csv_line_breaks", "SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents")
+def csv_line_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes, separators and line breaks through a CSV file and back."""
+    at = _place(spark)
+    tabular.write_delimited(table(spark, d, "documents").select("doc_id", "text", "source"), at)
+    return tabular.read_delimited(spark, at, comments=False, multiline=True)
+
+
+@R.add("dialect_round_trip", "SELECT DISTINCT id::VARCHAR AS id, regexp_replace(text, '[\r\n]', ' ', 'g') AS text, coalesce(site, '') AS site FROM snippets WHERE text IS NOT NULL")
+def dialect_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes and separators through the dialect whose quotes are escaped by a backslash."""
+    at = _place(spark)
+    s = table(spark, d, "snippets").where("text IS NOT NULL").select("id", F.regexp_replace("text", r"[\r\n]", " ").alias("text"), "site").distinct()
+    tabular.write_delimited(s, at, "pyspark")
+    return tabular.read_delimited(spark, at, "pyspark")
+
+
+@R.add("headers_by_file", "SELECT n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation UNION ALL SELECT 'n_name', 'n_regionkey'")
+def headers_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """Several files with a header each, and one data row that reads like the header."""
+    at = _place(spark)
+    rows = table(spark, d, "nation").selectExpr("n_name", "CAST(n_regionkey AS string) AS n_regionkey")
+    rows = rows.unionByName(spark.createDataFrame([("n_name", "n_regionkey")], rows.schema))
+    tabular.write_delimited(rows.repartition(3), at)
+    return tabular.read_delimited(spark, at)
+
+
+@R.add("sniffed_dialect", "SELECT '|' AS sep, '\"' AS quote")
+def sniffed_dialect(spark: SparkSession, d: str) -> DataFrame:
+    at = _place(spark)
+    tabular.write_delimited(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), at, sep="|")
+    o = tabular.sniff(spark, at)
+    return spark.createDataFrame([(o["sep"], o["quote"])], "sep string, quote string")
+
+
+def _named_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The nations in one file, a line each, in order."""
+    at = _place(spark)
+    lines = table(spark, d, "nation").select(F.concat("n_name", F.lit(" ; nation # "), F.col("n_nationkey").cast("string")).alias("line"), "n_nationkey")
+    tabular.write_lines(lines.coalesce(1).sortWithinPartitions("n_nationkey"), "line", at)
+    return spark.createDataFrame([(at,)], "at string")
+
+
+@R.add("file_lines", "SELECT row_number() OVER (ORDER BY n_nationkey)::INT AS line_no, n_name || ' ' AS line FROM nation")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    at = _named_lines(spark, d).first().at
+    return tabular.read_lines(spark, at, comments=True).select("line_no", "line")
+
+
+@R.add("numbered_table", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::VARCHAR AS key, n_name || ' ; nation # ' || n_nationkey AS value FROM nation")
+def numbered_table(spark: SparkSession, d: str) -> DataFrame:
+    return tabular.numbered_table(tabular.read_lines(spark, _named_lines(spark, d).first().at))
+
+
+@R.add("whole_files", "SELECT string_agg(n_name || ' ; nation # ' || n_nationkey || chr(10), '' ORDER BY n_nationkey) AS text, sum(length(n_name || ' ; nation # ' || n_nationkey) + 1)::BIGINT AS length, true AS same FROM nation")
+def whole_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file as text and as bytes."""
+    at = _named_lines(spark, d).first().at
+    text, data = tabular.read_text(spark, at).where("text <> ''"), tabular.read_bytes(spark, at).where("length > 0 AND path LIKE '%.txt'")
+    return text.select("text", F.lit(1).alias("k")).join(data.select("length", "content", F.lit(1).alias("k")), "k").select("text", "length", (F.encode("text", "UTF-8") == F.col("content")).alias("same"))
+
+
+@R.add("listed_folders", "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS name, true AS directory FROM nation UNION ALL SELECT '_SUCCESS', false")
+def listed_folders(spark: SparkSession, d: str) -> DataFrame:
+    at = _place(spark)
+    table(spark, d, "nation").write.partitionBy("n_regionkey").parquet(at)
+    return tabular.directory_listing(spark, at).select("name", "directory")
+
+
+@R.add("newer_files", "SELECT 'txt' AS extension, 3::BIGINT AS files")
+def newer_files(spark: SparkSession, d: str) -> DataFrame:
+    """Text files written after the newest file of an index; a file before it and files of another kind are not among them."""
+    at, index = _place(spark), _place(spark)
+    n = table(spark, d, "nation").select(F.col("n_name").alias("line"))
+    tabular.write_lines(n.limit(1).coalesce(1), "line", at)
+    tabular.write_lines(n.limit(1).coalesce(1), "line", index)
+    time.sleep(1.1)
+    tabular.write_lines(n.repartition(3), "line", at, mode="append")
+    n.write.mode("append").parquet(at)
+    return tabular.newer_files(spark, at, index).groupBy(F.regexp_extract("path", r"\.([^./]*)$", 1).alias("extension")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@R.add("yaml_records", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand || ': \"#' || p_size || '\"' AS note, NULL::VARCHAR AS absent FROM part")
+def yaml_records(spark: SparkSession, d: str) -> DataFrame:
+    at = _place(spark)
+    note = F.concat("p_brand", F.lit(': "#'), F.col("p_size").cast("string"), F.lit('"'))
+    tabular.write_yaml(table(spark, d, "part").select("p_partkey", "p_name", note.alias("note")), at)
+    return tabular.records(spark, at, ["p_partkey", "p_name", "note", "absent"], "yaml")
+
+
+@R.add("orc_round_trip", "SELECT event_id, event_type, value FROM events")
+def orc_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    at = _place(spark)
+    table(spark, d, "events").select("event_id", "event_type", "value").write.orc(at)
+    return spark.read.orc(at)
+
+
 @R.add("event_properties", "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
