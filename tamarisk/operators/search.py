@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.operators.tfidf import document_counts
-from tamarisk.plans.scale import checkpoint
+from tamarisk.plans.scale import block_files, read_block, spread, written
 
-#: Query vectors that are held in a task at once; more are handled in further passes over the rows.
+#: Query vectors that a task holds at once.
 QUERY_BLOCK = 2000
 
 
@@ -55,29 +55,29 @@ def query_hits(index: DataFrame, queries: DataFrame, key: str = "doc_id") -> Dat
 
 
 def tfidf_vectors(index: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """``key``, terms and weights: tf times ln(n / df), scaled to length 1; terms of all documents have no weight and are left out."""
-    counted = document_counts(index, "term", key)
+    """``key``, terms and weights: tf times ln(n / df), scaled to length 1; terms of all documents have no weight and are left out.
+
+    A term stands as its 64-bit hash, which is shuffled and compared in place of the text.
+    """
+    hashed = index.select(key, F.xxhash64("term").alias("term"), "tf")
+    counted = document_counts(hashed, "term", key)
     weighed = counted.where(F.col("df") < n).select(key, "term", (F.col("tf") * F.log(F.lit(float(n)) / F.col("df"))).alias("w"))
-    doc = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return doc.select(key, F.transform("v", lambda x: x["term"]).alias("terms"), F.transform("v", lambda x: x["w"] / norm).alias("weights"))
+    doc = weighed.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return doc.select(key, F.col("v.term").alias("terms"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
 
 
-def _best(parts: list[DataFrame], k: int, query: str, score: str, other: str, descending: bool) -> DataFrame:
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+def _best(scored: DataFrame, k: int, query: str, score: str, other: str, descending: bool) -> DataFrame:
     order = "DESC" if descending else "ASC"
-    return both.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY `{query}` ORDER BY round(`{score}`, 9) {order}, `{other}`)")).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY `{query}` ORDER BY round(`{score}`, 9) {order}, `{other}`)")).where(F.col("rank") <= k)
 
 
 def cosine_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str = "doc_id", block: int = QUERY_BLOCK) -> DataFrame:
     """query, ``key``, similarity, rank: the ``k`` documents most similar to each query document, itself left out.
 
-    ``queries`` is the condition of the rows of ``vectors`` that are queries. They are compared with all vectors in blocks of ``block`` that every task holds as posting
-    lists: no join on a frequent word. Each task passes on only its ``k`` best for each query.
+    ``queries`` is the condition of the rows of ``vectors`` that are queries. See ``_blocks`` for how they meet all vectors; a task holds a block of queries as posting
+    lists, so that there is no join on a frequent word.
     """
-    vectors = checkpoint(vectors)
+    vectors = written(vectors)
     return _blocks(vectors, vectors.where(queries), k, key, block, _sparse, True, "similarity")
 
 
@@ -86,84 +86,135 @@ def vector_neighbours(vectors: DataFrame, queries: Column, k: int = 10, key: str
 
     Exact: blocks of queries against all rows by matrix products; vectors of another length than the query's are skipped.
     """
-    v, q = (t.select(key, F.col(column).alias("weights")) for t in (vectors, vectors.where(queries)))
+    return nearest_of(vectors, vectors.where(queries), k, key, column, metric, block)
+
+
+def nearest_of(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+    """Like ``vector_neighbours`` with queries of their own; one with the key of a row does not find it."""
+    v, q = (t.select(key, F.col(column).cast("array<double>").alias("weights")) for t in (vectors, queries))
     return _blocks(v, q, k, key, block, _dense_l2 if metric == "l2" else _dense_cosine, metric != "l2", "similarity" if metric == "cosine" else "distance")
 
 
+#: Rows that a task compares with a block of queries before it gives their best, and rows whose scores it holds at once.
+GROUP_ROWS, SCORE_ROWS = 50_000, 2000
+
+
 def _blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int, score, descending: bool, name: str) -> DataFrame:
-    total = queries.count()
-    parts = []
-    n = max(1, -(-total // block))
-    for b in range(n):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).orderBy(key).toPandas() if n > 1 else queries.orderBy(key).toPandas()
-        held = vectors.sparkSession.sparkContext.broadcast(rows)
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q = held.value
-            ids = q[key].to_numpy()
-            kept: list[pd.DataFrame] = []
-            for f in frames:
-                if not len(ids) or not len(f):
-                    continue
-                f = f.sort_values(key, kind="stable")
-                s = score(q, f)  # queries x rows
-                s = np.where(ids[:, None] == f[key].to_numpy()[None, :], np.nan, s)
-                # Rows are in key order, so a stable sort of the rounded scores gives ties, however many, to the smallest keys.
-                r = np.round(s, 9)
-                best = np.argsort(np.negative(r, out=r) if descending else r, axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(ids)), best.shape[1])
-                out = pd.DataFrame({"query": ids[at], key: f[key].to_numpy()[best.ravel()], name: s[at, best.ravel()]}).dropna()
-                kept = [pd.concat([*kept, out])]
-                kept[0] = kept[0].assign(r=kept[0][name].round(9)).sort_values(["query", "r", key], ascending=[True, not descending, True]).groupby("query").head(k).drop(columns="r")
-            if kept:
-                yield kept[0]
-
-        parts.append(vectors.mapInPandas(run, f"query bigint, `{key}` bigint, `{name}` double"))
-    return _best(parts, k, "query", name, key, descending)
-
-
-def _sparse(q: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
-    """Dot products of sparse vectors: the rows' terms look up posting lists of the queries, all products are added at once."""
-    flat = lambda t: (np.repeat(np.arange(len(t)), [len(x) for x in t["terms"]]), np.concatenate([np.asarray(x, dtype=object) for x in t["terms"]] or [np.array([], dtype=object)]), np.concatenate([np.asarray(x, dtype=float) for x in t["weights"]] or [np.array([])]))
-    qi, qt, qw = flat(q)
-    code, names = pd.factorize(qt)
-    order = np.argsort(code, kind="stable")
+    """The ``k`` best rows of each query, ties, however many, to the smallest keys; rows without a key are left out.
+
+    One pass over the vectors, whatever the number of queries: these lie in the shared folder in files of about ``block``, which a task reads one by
+    one for each group of its rows. Neither driver nor plan holds them, a task never more than one block and one group. For each query a
+    task passes on its ``k`` best of each group.
+    """
+    known = F.col(key).isNotNull()
+    files = block_files(queries.where(known), key, block)
+    fields = pa.schema([("query", pa.int64()), (key, pa.int64()), (name, pa.float64())])
+
+    def best(q: pa.Table, rows: pa.Table) -> pa.RecordBatch:
+        ids, keys = q.column(key).to_numpy(), rows.column(key).to_numpy()
+        top, at = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
+        scores = score(q, rows)
+        for start in range(0, len(keys), SCORE_ROWS):
+            part = keys[start : start + SCORE_ROWS]
+            s = scores(start, start + len(part))
+            s[ids[:, None] == part[None, :]] = np.nan
+            # Rows are in the order of their keys, so a stable sort of the rounded scores puts ties in it, too.
+            both = np.concatenate([top, s], axis=1)
+            where = np.concatenate([at, np.broadcast_to(np.arange(start, start + len(part)), s.shape)], axis=1)
+            order = np.argsort(np.round(-both if descending else both, 9), axis=1, kind="stable")[:, :k]
+            top, at = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
+        good = ~np.isnan(top)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(axis=1))), pa.array(keys[at[good]]), pa.array(top[good])], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def group() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).sort_by(key).combine_chunks()
+            for f in files:
+                yield best(read_block(f).combine_chunks(), rows)
+
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= GROUP_ROWS:
+                yield from group()
+                held = []
+        if sum(map(len, held)):
+            yield from group()
+
+    rows = spread(vectors.where(known).withColumn(key, F.col(key).cast("bigint")), key)
+    return _best(rows.mapInArrow(run, f"query bigint, `{key}` bigint, `{name}` double"), k, "query", name, key, descending)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists one after another, and where each list begins and the last ends; null lists are empty."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], column.type)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _sparse(q: pa.Table, rows: pa.Table) -> Callable[[int, int], np.ndarray]:
+    """Scores of a range of rows: their terms look up posting lists of the queries, all products are added at once."""
+    (qt, qs), (qw, _) = _flat(q.column("terms")), _flat(q.column("weights"))
+    qi = np.repeat(np.arange(len(q)), np.diff(qs))
+    order = np.argsort(qt, kind="stable")
     qi, qw = qi[order], qw[order]
-    ends = np.cumsum(np.bincount(code, minlength=len(names)))
-    starts = np.concatenate([[0], ends[:-1]]).astype(int)
-    index = pd.Index(names)
-    out = np.zeros((len(q), len(f)))
-    for at in range(0, len(f), 500):
-        part = f.iloc[at : at + 500]
-        fi, ft, fw = flat(part)
-        where = index.get_indexer(ft)
-        fi, fw, where = fi[where >= 0], fw[where >= 0], where[where >= 0]
-        n = ends[where] - starts[where]
-        row = np.repeat(np.arange(len(where)), n)
-        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[where], n)
-        cell = qi[post] * len(part) + fi[row]
-        out[:, at : at + 500] = np.bincount(cell, qw[post] * fw[row], len(q) * len(part)).reshape(len(q), len(part))
-    return np.where(out > 0, out, np.nan)
-
-
-def _stacked(q: pd.DataFrame, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = max((len(x) for x in q["weights"] if x is not None), default=0)
-    fits = lambda s: [np.asarray(x, dtype=float) if x is not None and len(x) == width else np.full(width, np.nan) for x in s]
-    return np.vstack(fits(q["weights"])), np.vstack(fits(f["weights"])), np.array([width])
-
-
-def _dense_l2(q: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
-    a, b, _ = _stacked(q, f)
-    out = np.empty((len(a), len(b)))
-    for i in range(len(a)):
-        out[i] = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-    return out
-
-
-def _dense_cosine(q: pd.DataFrame, f: pd.DataFrame) -> np.ndarray:
-    a, b, _ = _stacked(q, f)
+    terms, starts, counts = np.unique(qt[order], return_index=True, return_counts=True)
+    (ft, fs), (fw, _) = _flat(rows.column("terms")), _flat(rows.column("weights"))
+
+    def scores(a: int, b: int) -> np.ndarray:
+        t, w = ft[fs[a] : fs[b]], fw[fs[a] : fs[b]]
+        i = np.repeat(np.arange(b - a), np.diff(fs[a : b + 1]))
+        if not len(terms) or not len(t):
+            return np.full((len(q), b - a), np.nan)
+        at = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
+        hit = terms[at] == t
+        at, w, i = at[hit], w[hit], i[hit]
+        n = counts[at]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
+        out = np.bincount(qi[post] * (b - a) + np.repeat(i, n), qw[post] * np.repeat(w, n), len(q) * (b - a)).reshape(len(q), b - a)
+        return np.where(out > 0, out, np.nan)
+
+    return scores
+
+
+def _stacked(q: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows as matrices of the queries' width; vectors of another width are rows of nan."""
+
+    def matrix(t: pa.Table, width: int | None) -> np.ndarray:
+        values, at = _flat(t.column("weights"))
+        n = np.diff(at)
+        width = int(n.max(initial=0)) if width is None else width
+        out = np.full((len(t), width), np.nan)
+        if width:
+            fit = n == width
+            out[fit] = values[(at[:-1][fit][:, None] + np.arange(width)).ravel()].reshape(-1, width)
+        return out
+
+    a = matrix(q, None)
+    return a, matrix(rows, a.shape[1])
+
+
+def _dense_l2(q: pa.Table, rows: pa.Table) -> Callable[[int, int], np.ndarray]:
+    a, b = _stacked(q, rows)
+
+    def scores(i: int, j: int) -> np.ndarray:
+        part = b[i:j]
+        out = np.full((len(a), len(part)), np.nan)
+        for n in range(len(a) if a.shape[1] else 0):
+            out[n] = np.sqrt(((part - a[n]) ** 2).sum(axis=1))
+        return out
+
+    return scores
+
+
+def _dense_cosine(q: pa.Table, rows: pa.Table) -> Callable[[int, int], np.ndarray]:
+    a, b = _stacked(q, rows)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+        a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+    return lambda i, j: a @ b[i:j].T if a.shape[1] else np.full((len(a), j - i), np.nan)
 
 
 def chunks(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,4 +253,4 @@ def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
     b = vectors.select(F.col(key).alias("id"), F.col(column).alias("b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     scored = pairs.join(a, "query").join(b, "id").select("query", F.col("id").alias(key), (dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))).alias("similarity"))
-    return _best([scored], k, "query", "similarity", key, True)
+    return _best(scored, k, "query", "similarity", key, True)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,29 +130,51 @@ def filter_extremes(df: DataFrame, n: int, no_below: int = 5, no_above: float =
     return df.where((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above * n))).orderBy(F.desc("df"), "ngram").limit(keep)
 
 
+class _Seen:
+    """The terms of a document so far, for finding those that clash with one of them without comparing pairs."""
+
+    def __init__(self) -> None:
+        self.whole: set[tuple[str, ...]] = set()
+        self.runs: set[tuple[str, ...]] = set()
+        self.starts: set[tuple[str, ...]] = set()
+        self.ends: set[tuple[str, ...]] = set()
+
+    def clash(self, words: tuple[str, ...], subsumed: bool, overlapping: bool) -> bool:
+        n = len(words)
+        runs = {words[i:j] for i in range(n) for j in range(i + 1, n + 1)}
+        starts, ends = {words[:k] for k in range(1, n + 1)}, {words[k:] for k in range(n)}
+        hit = subsumed and (words in self.runs or not runs.isdisjoint(self.whole)) or overlapping and (not ends.isdisjoint(self.starts) or not starts.isdisjoint(self.ends))
+        self.whole.add(words)
+        self.runs |= runs
+        self.starts |= starts
+        self.ends |= ends
+        return hit
+
+
 def prune(top: DataFrame, key: str = "doc_id", subsumed: bool = True, overlapping: bool = True, limit: int | None = None) -> DataFrame:
     """The top terms without those that a better-ranked term of the document contains, is contained in, or overlaps at word ends.
 
-    Dropped terms still drop others. The ranked terms of one document are one array of at most the rank limit, so the
-    comparison needs no self-join.
+    Dropped terms still drop others. The ranked terms of one document are one array of at most the rank limit; one pass over it in an Arrow batch keeps the runs,
+    starts and ends of the terms seen, so the work grows with the terms and not with their pairs.
     """
-    # Words and the spaced text are made once for each term, not for each pair.
-    full = top.select(key, F.struct("rank", "ngram", "score", F.split("ngram", " ").alias("w"), F.concat(F.lit(" "), F.col("ngram"), F.lit(" ")).alias("s")).alias("x"))
-    terms = full.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("t"))
-
-    def clashes(x: Column, y: Column) -> Column:
-        hit = F.lit(False)
-        if subsumed:
-            hit = hit | F.contains(x["s"], y["s"]) | F.contains(y["s"], x["s"])
-        if overlapping:
-            # A common word comes first, as it is quickly seen.
-            hit = hit | (F.arrays_overlap(x["w"], y["w"]) & (F.size(arrays.overlap(x["w"], y["w"])) > 0))
-        return hit
-
-    kept = F.filter("t", lambda x, i: ~F.exists(F.slice("t", F.lit(1), i), lambda y: clashes(x, y)))
-    if limit is not None:
-        kept = F.slice(kept, 1, limit)
-    return terms.select(key, F.posexplode(kept).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("rank"), "x.ngram", "x.score")
+    kind = dict(top.dtypes)[key]
+    terms = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "ngram", "score"))).alias("t")).select(key, "t.ngram", "t.score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rank, grams, scores = [], [], [], []
+            for i, (ngrams_, values) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                seen, n = _Seen(), 0
+                for g, v in zip(ngrams_, values):
+                    if not seen.clash(tuple(g.split(" ")), subsumed, overlapping) and (limit is None or n < limit):
+                        n += 1
+                        at.append(i)
+                        rank.append(n)
+                        grams.append(g)
+                        scores.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(grams, pa.string()), pa.array(scores, pa.float64())], [key, "rank", "ngram", "score"])
+
+    return terms.mapInArrow(run, f"`{key}` {kind}, rank int, ngram string, score double")
 
 
 def boost(top: DataFrame, key: str = "doc_id", good: Sequence[str] = (), bad: Sequence[str] = (), stop: Sequence[str] = STOP_WORDS, good_by: float = 1.0, bad_by: float = 1.0, numeric_by: float = 1.0, stop_by: float = 1.0, punct_by: float = 1.0, drop_numeric: bool = False) -> DataFrame:

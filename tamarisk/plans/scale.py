@@ -13,7 +13,10 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Sequence
+from functools import lru_cache
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +145,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def block_files(df: DataFrame, key: str, rows: int) -> list[str]:
+    """The rows in files of about ``rows`` each in the shared folder, dealt by a hash of ``key``, for tasks that go through them block by block."""
+    n = max(1, -(-df.count() // rows))
+    return sorted(written(df.repartition(n, F.xxhash64(key))).inputFiles())
+
+
+@lru_cache(maxsize=2)
+def read_block(file: str) -> pa.Table:
+    """A file of ``block_files``, in a task; the last ones read are kept by the worker."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(file if "://" in file or ":/" in file else f"file://{file}")
+    return pq.read_table(unquote(path), filesystem=system)
+
+
 PART = "__part"
 
 
