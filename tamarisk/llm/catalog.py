@@ -68,12 +68,12 @@ m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 24 * (SEL
 SUFFIX_TERMS = 3
 
 
-def _ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=SUFFIX_TERMS)
+def _ngrams(spark: SparkSession, d: str, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=SUFFIX_TERMS, sizes=sizes)
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.mark_terms(_ngrams(spark, d).where("n = 1"), ngrams.record_count(table(spark, d, "snippets"), "id", "text", "ingested_at"))
+    return ngrams.mark_terms(_ngrams(spark, d, (1,)), ngrams.record_count(table(spark, d, "snippets"), "id", "text", "ingested_at"))
 
 
 @R.add("p2_terms", _P2 + "SELECT term, occurrences, records, mark FROM m")

@@ -9,8 +9,8 @@ up over batches, tasks and salts without any set in memory.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,95 +36,103 @@ def one_record(df: DataFrame, key: str, text: str, arrival: str | None = None) -
     return one.unionByName(df.where(F.col(key).isNull()).select(key, text))
 
 
-def count_ngrams(df: DataFrame, text: str = "text", max_n: int = 1) -> DataFrame:
+#: Bits of one count where the counts of a suffix are kept in one whole number, so that adding them is one addition.
+BITS = 48
+_ONE = (1 << BITS) - 1
+
+
+def count_ngrams(df: DataFrame, text: str = "text", max_n: int = 1, sizes: Collection[int] | None = None) -> DataFrame:
     """ngram, n, occurrences, records of every n-gram of up to ``max_n`` terms over all rows of ``df``, each row a record.
 
-    Null texts, and texts without terms, hold no n-gram. Terms of an n-gram are joined by a blank and may be separated by
-    anything in the text. Other columns are ignored. No rows give no rows.
+    ``sizes``: only n-grams of so many terms are given, though all are counted. Null texts, and texts without terms, hold no n-gram. Terms of an
+    n-gram are joined by a blank and may be separated by anything in the text. Other columns are ignored. No rows give no rows.
 
     Scale: identical suffixes are combined before the shuffle, so a text repeated in a third of the rows costs one row for
     each task; the suffixes of a hot first term go to up to SALTS tasks and their partial counts are added at the end.
     """
+    given = frozenset(range(1, max_n + 1) if sizes is None else sizes)
+    # A suffix carries how often it occurs and, for each length, how often its prefixes are new to their record from that length on.
+    fields = ["c", *(f"new{n}" for n in range(1, max_n + 1))]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held: defaultdict[str, int] = defaultdict(int)
+        step = [1, *(1 + (1 << BITS * n) for n in range(1, max_n + 1))]
         for batch in batches:
             for words in batch.column(0).to_pylist():
                 if not words:
                     continue
                 seen: set[str] = set()
-                for i in range(len(words)):
+                add = seen.add
+                last = len(words)
+                for i, part in enumerate(words):
                     new = 0
-                    for n in range(1, min(max_n, len(words) - i) + 1):
-                        part = words[i] if n == 1 else " ".join(words[i : i + n])
-                        if part not in seen:
-                            seen.add(part)
-                            new = new or n
-                    # Prefixes are new from length ``new`` on: a longer one cannot have occurred without the shorter.
-                    counts = held.get(part)
-                    if counts is None:
-                        counts = held[part] = [0] * (max_n + 1)
-                    counts[0] += 1
-                    if new:
-                        counts[new] += 1
+                    if part not in seen:
+                        add(part)
+                        new = 1
+                    for n in range(2, min(max_n, last - i) + 1):
+                        part = f"{part} {words[i + n - 1]}"
+                        # Where a prefix is new, so is what it begins.
+                        if new:
+                            add(part)
+                        elif part not in seen:
+                            add(part)
+                            new = n
+                    held[part] += step[new]
             if len(held) >= COMBINE:
                 yield flush(held)
-                held = {}
+                held.clear()
         if held:
             yield flush(held)
 
-    def flush(held: dict[str, list[int]]) -> pa.RecordBatch:
-        first, salt = [], []
-        for s in held:
-            head, _, tail = s.partition(" ")
-            first.append(head)
-            salt.append(zlib.crc32(tail.partition(" ")[0].encode()) % SALTS)
-        return pa.RecordBatch.from_pydict({"first": first, "salt": salt, "suffix": list(held), "counts": list(held.values())}, schema=pa.schema([("first", pa.string()), ("salt", pa.int32()), ("suffix", pa.string()), ("counts", pa.list_(pa.int64()))]))
+    def flush(held: dict[str, int]) -> pa.RecordBatch:
+        counts = list(held.values())
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([x >> BITS * k & _ONE for x in counts], pa.int64()) for k in range(max_n + 1))], ["suffix", *fields])
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # open[d]: term at depth d; cf[d], df[d][n]: counts of suffixes whose prefix of length d + 1 is on the stack.
+        # words: the terms on the stack; sums: of each depth the counts of the suffixes whose prefix it is.
         words: list[str] = []
-        cf: list[int] = []
-        df: list[list[int]] = []
-        out: list[tuple[str, int, int, int]] = []
-
-        def pop() -> None:
-            d = len(words)
-            c, news = cf.pop(), df.pop()
-            out.append((" ".join(words), d, c, sum(news[: d + 1])))
-            words.pop()
-            if words:
-                cf[-1] += c
-                df[-1] = [a + b for a, b in zip(df[-1], news)]
+        sums: list[int] = []
+        out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def pop(keep: int) -> None:
+            while len(words) > keep:
+                d, x = len(words), sums.pop()
+                if d in given:
+                    for column, v in zip(out, (" ".join(words), d, x & _ONE, sum(x >> BITS * n & _ONE for n in range(1, d + 1)))):
+                        column.append(v)
+                words.pop()
+                if sums:
+                    sums[-1] += x
 
         for batch in batches:
-            for suffix, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            columns = [c.to_pylist() for c in batch.columns]
+            for suffix, *counts in zip(*columns):
                 parts = suffix.split(" ")
                 same = 0
-                while same < len(words) and same < len(parts) and words[same] == parts[same]:
+                for a, b in zip(words, parts):
+                    if a != b:
+                        break
                     same += 1
-                while len(words) > same:
-                    pop()
+                if len(words) > same:
+                    pop(same)
                 for p in parts[same:]:
                     words.append(p)
-                    cf.append(0)
-                    df.append([0] * (max_n + 1))
-                cf[-1] += counts[0]
-                df[-1] = [a + b for a, b in zip(df[-1], [0, *counts[1:]])]
-            if len(out) >= 50_000:
+                    sums.append(0)
+                sums[-1] += sum(x << BITS * k for k, x in enumerate(counts) if x)
+            if len(out[0]) >= 50_000:
                 yield made(out)
-                out.clear()
-        while words:
-            pop()
+                for column in out:
+                    column.clear()
+        pop(0)
         yield made(out)
 
-    def made(out: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["ngram", "n", "occurrences", "records"])
+    def made(out: tuple[list, list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["ngram", "n", "occurrences", "records"])
 
-    words = df.select(terms(F.col(text)).alias("w"))
-    routed = words.mapInArrow(suffixes, "first string, salt int, suffix string, counts array<bigint>").repartition(F.col("first"), F.col("salt"))
-    ordered = routed.sortWithinPartitions(F.col("first").desc(), F.col("suffix").desc()).select("suffix", "counts")
+    counted = df.select(terms(F.col(text)).alias("w")).mapInArrow(suffixes, "suffix string, " + ", ".join(f"{c} bigint" for c in fields))
+    first, second = F.substring_index("suffix", " ", 1), F.substring_index(F.substring_index("suffix", " ", 2), " ", -1)
+    routed = counted.withColumn("first", first).withColumn("salt", F.pmod(F.hash(second), F.lit(SALTS))).repartition("first", "salt")
+    ordered = routed.sortWithinPartitions(F.col("first").desc(), F.col("suffix").desc()).select("suffix", *fields)
     part = ordered.mapInArrow(stack, "ngram string, n int, occurrences bigint, records bigint")
     return part.groupBy("ngram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
