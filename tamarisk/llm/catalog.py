@@ -64,16 +64,17 @@ m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 24 * (SEL
 """
 
 
-#: Terms of a suffix: what follows a term routes and sorts its suffixes, so that a frequent one is spread over tasks.
-SUFFIX_TERMS = 3
+#: Terms of a suffix where single terms are wanted: the first routes it, the second sorts it and spreads a frequent first one over tasks. A third
+#: would change no count.
+SUFFIX_TERMS = 2
 
 
-def _ngrams(spark: SparkSession, d: str, sizes: tuple[int, ...] | None = None) -> DataFrame:
-    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=SUFFIX_TERMS, sizes=sizes)
+def _ngrams(spark: SparkSession, d: str, max_n: int, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    return ngrams.count_ngrams(ngrams.one_record(table(spark, d, "snippets"), "id", "text", "ingested_at"), max_n=max_n, sizes=sizes)
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.mark_terms(_ngrams(spark, d, (1,)), ngrams.record_count(table(spark, d, "snippets"), "id", "text", "ingested_at"))
+    return ngrams.mark_terms(_ngrams(spark, d, SUFFIX_TERMS, (1,)), ngrams.record_count(table(spark, d, "snippets"), "id", "text", "ingested_at"))
 
 
 @R.add("p2_terms", _P2 + "SELECT term, occurrences, records, mark FROM m")
@@ -96,7 +97,7 @@ SELECT ngram, n, count(*) AS occurrences, count(DISTINCT id) AS records FROM g G
 """,
 )
 def p2_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _ngrams(spark, d)
+    return _ngrams(spark, d, 3)
 
 
 # Problem 3
