@@ -119,12 +119,13 @@ def fill(packed: DataFrame, plans: DataFrame) -> DataFrame:
     return plans.select("plan_id", "capacity").join(per, "plan_id").withColumn("filled", F.col("units") / (F.col("containers") * F.col("capacity")))
 
 
-def checked(packed: DataFrame, sizes: DataFrame, plans: DataFrame, filled: float, key: str = "doc_id") -> DataFrame:
+def checked(packed: DataFrame, sizes: DataFrame, plans: DataFrame, filled: float, key: str = "doc_id", open_bins: int = OPEN_BINS) -> DataFrame:
     """For each plan: ``whole`` (the pieces of every item follow each other from its first unit to its last), ``within`` (no container over its
-    capacity) and ``filled`` (at least that share of the room of all containers is used). Keys are taken to be unique."""
+    capacity) and ``filled`` (at least that share of the room of all containers is used, but for as many as may be open at the end). Keys are taken
+    to be unique."""
     pieces = packed.groupBy("plan_id", key).agg(F.sum("units").alias("got"), F.max(F.col("start") + F.col("units")).alias("end"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"))
     want = plans.select("plan_id", "kind").join(sizes.where("units > 0"), "kind").select("plan_id", key, "units")
     whole = want.join(pieces, ["plan_id", key], "full").groupBy("plan_id").agg(F.min(F.coalesce((F.col("got") == F.col("units")) & (F.col("end") == F.col("units")) & (F.col("n") == F.col("last")), F.lit(False))).alias("whole"))
     rooms = packed.groupBy("plan_id", "container").agg(F.sum("units").alias("u")).groupBy("plan_id").agg(F.max("u").alias("most"), F.sum("u").alias("u"), F.count(F.lit(1)).alias("c"))
     out = plans.select("plan_id", "capacity").join(whole, "plan_id").join(rooms, "plan_id")
-    return out.select("plan_id", "whole", (F.col("most") <= F.col("capacity")).alias("within"), (F.col("u") >= F.lit(filled) * F.col("c") * F.col("capacity")).alias("filled"))
+    return out.select("plan_id", "whole", (F.col("most") <= F.col("capacity")).alias("within"), (F.col("u") >= F.lit(filled) * (F.col("c") - open_bins) * F.col("capacity")).alias("filled"))
