@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import learning, sampling
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import shared_dir, table
+from tamarisk.plans.scale import shared_dir, table, written
 from tamarisk.sources import tabular
 from tamarisk.streaming import events as streams
 
@@ -201,7 +201,7 @@ _NUM = ["sepal_length", "sepal_width", "petal_length", "petal_width"]
 def iris_classifiers(spark: SparkSession, d: str) -> DataFrame:
     """Held-out accuracy of each classifier on the spelt-out iris classes."""
     t = table(spark, d, "iris").withColumn("class", F.nullif(F.lower(F.trim("class")), F.lit(""))).select("obs_id", *_NUM, "class").distinct()
-    data = learning.features(t, _NUM, "class").cache()
+    data = written(learning.features(t, _NUM, "class"))
     return spark.createDataFrame([(c, float(learning.hold_out(data, c))) for c in ("nb", "lr", "tree", "forest")], "classifier string, accuracy double")
 
 
@@ -228,11 +228,91 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
     return learning.linear_fit(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
 
 
-@R.add("scaled_features", "SELECT event_id, event_type FROM events")
+@R.add("scaled_features", "WITH f AS (SELECT event_id, event_type, coalesce(user_id, avg(user_id) OVER ()) AS u, coalesce(value, avg(value) OVER ()) AS v FROM events WHERE event_type IS NOT NULL) SELECT (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS y, round(u / stddev_samp(u) OVER (), 6) AS user_id, round(v / stddev_samp(v) OVER (), 6) AS value FROM f")
 def scaled_features(spark: SparkSession, d: str) -> DataFrame:
     """y and the scaled columns of every event with a type; gaps hold the mean."""
-    out = learning.features(table(spark, d, "events"), ["user_id", "value"], "event_type")
-    return out.select("y", vector_to_array("features").alias("features"))
+    out = learning.features(table(spark, d, "events"), ["user_id", "value"], "event_type").select("y", vector_to_array("features").alias("f"))
+    return out.select("y", F.round(F.col("f")[0], 6).alias("user_id"), F.round(F.col("f")[1], 6).alias("value"))
+
+
+def _iris(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "iris").withColumn("class", F.nullif(F.lower(F.trim("class")), F.lit(""))).select("obs_id", *_NUM, "class").distinct()
+    return written(learning.features(t, _NUM, "class"))
+
+
+def _plain(df: DataFrame, label: str) -> float:
+    """The share of the most frequent label, which a guess must beat."""
+    return df.groupBy(label).count().agg(F.max("count") / F.sum("count")).first()[0]
+
+
+@R.add("iris_methods", "SELECT unnest(['elastic', 'forest', 'knn', 'lda', 'lr', 'tree']) AS classifier, true AS able")
+def iris_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each method names held-out classes better, by 20 points and more, than the most frequent class does."""
+    data = _iris(spark, d)
+    least = _plain(data, "y") + 0.2
+    return spark.createDataFrame([(c, bool(learning.hold_out(data, c) > least)) for c in ("elastic", "forest", "knn", "lda", "lr", "tree")], "classifier string, able boolean")
+
+
+@R.add("iris_cross_validated", "SELECT 'tree' AS classifier, true AS able, true AS deep UNION ALL SELECT 'drawn forest', true, true")
+def iris_cross_validated(spark: SparkSession, d: str) -> DataFrame:
+    """Settings chosen by cross-validation from a grid, and from drawn ones; a tree of one question is not the best."""
+    data = _iris(spark, d)
+    least = _plain(data, "y") + 0.2
+    mean, _, best = learning.cross_validated(data, "tree", 3, {"maxDepth": [1, 4]})
+    drawn, settings, n = learning.random_search(data, "forest", {"maxDepth": (2, 6), "subsamplingRate": (0.5, 1.0)}, 3, 2)
+    return spark.createDataFrame([("tree", bool(mean > least), best["maxDepth"] == 4), ("drawn forest", bool(drawn > least), n == 3 and 2 <= settings["maxDepth"] <= 6)], "classifier string, able boolean, deep boolean")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "snippets").where("label IS NOT NULL AND text IS NOT NULL").select("id", "label", "text").distinct()
+
+
+@R.add("class_probabilities", "SELECT count(DISTINCT id) AS n, true AS whole, true AS same FROM snippets WHERE label IS NOT NULL AND text IS NOT NULL")
+def class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities of all labels for every snippet: they add up to 1, and a categorizer that was saved and read again gives the same ones."""
+    s, at = _labelled(spark, d), _place(spark)
+    c = learning.TextCategorizer("nb", ngrams=2, max_features=5000, min_df=2, max_df=0.5).train(s)
+    c.save(at)
+    p = c.class_probabilities(s).select("id", F.col("probabilities").alias("p"))
+    again = learning.TextCategorizer("nb").load(at).class_probabilities(s).select("id", F.col("probabilities").alias("q"))
+    total = F.aggregate(F.map_values("p"), F.lit(0.0), lambda a, x: a + x)
+    far = F.array_max(F.zip_with(F.map_values("p"), F.map_values("q"), lambda x, y: F.abs(x - y)))
+    return p.join(again, "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.abs(total - 1) < 1e-9).alias("whole"), F.min(far < 1e-9).alias("same"))
+
+
+@R.add("document_kinds", "SELECT true AS words, true AS characters, (SELECT count(DISTINCT regexp_extract(source, '^[a-z]+')) * 3 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) AS terms")
+def document_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether words, and n-grams of characters, name the kind of a held-out document (what its source begins with) better, by 20 points and more, than the most frequent kind
+    does, and how many terms speak for the kinds of a model of words."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", F.regexp_extract("source", "^[a-z]+", 0).alias("label"), "text")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    least = _plain(docs, "label") + 0.2
+    words = learning.TextCategorizer("nb", max_features=2000, min_df=2).train(docs.where(~test))
+    marks = learning.TextCategorizer("nb", ngrams=2, characters=True, max_features=1000).train(docs.where(~test))
+    able = [bool(c.test(docs.where(test)).first().accuracy > least) for c in (words, marks)]
+    return words.weights(3).agg(F.count(F.lit(1)).alias("terms")).select(F.lit(able[0]).alias("words"), F.lit(able[1]).alias("characters"), "terms")
+
+
+@R.add("logistic_fit", "SELECT unnest(['glucose', 'BMI', 'age', '(intercept)']) AS term, true AS balanced, true AS wider")
+def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the fit solves its equations (residuals that add up to nothing, alone and times each column), and its quasi form scales all errors alike."""
+    xs = ["glucose", "BMI", "age"]
+    t = table(spark, d, "diabetes").withColumn("y", F.trim("class")).where("y IN ('0', '1')").select("record_id", F.col("y").cast("double").alias("y"), *xs).dropna().distinct()
+    fit, predict = learning.logistic_fit(t, "y", xs)
+    quasi = learning.logistic_fit(t, "y", xs, quasi=True)[0].select("term", F.col("std_error").alias("q"))
+    left = F.col("y") - F.col("probability")
+    sums = predict(t).agg(*[(F.abs(F.sum(left * F.col(x))) / F.sum(F.abs(x)) < 1e-6).alias(x) for x in xs], (F.abs(F.avg(left)) < 1e-6).alias("(intercept)"))
+    balanced = sums.select(F.explode(F.create_map(*[v for c in [*xs, "(intercept)"] for v in (F.lit(c), F.col(f"`{c}`"))])).alias("term", "balanced"))
+    ratio = fit.join(quasi, "term").select("term", (F.col("q") / F.col("std_error")).alias("r"))
+    first = ratio.agg(F.avg("r")).scalar()
+    return balanced.join(ratio, "term").select("term", "balanced", (F.abs(F.col("r") / first - 1) < 1e-9).alias("wider"))
+
+
+@R.add("fit_columns", "SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS estimate FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 3) FROM lineitem")
+def fit_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The last column by the one before it, given by number."""
+    f = learning.fit_columns(table(spark, d, "lineitem").select("l_tax", "l_quantity", "l_extendedprice"), -1, [2])
+    return f.select("term", F.when(F.col("term") == "(intercept)", F.round("estimate", 3)).otherwise(F.round("estimate", 4)).alias("estimate"))
 
 
 # Streaming

@@ -9,6 +9,7 @@ from tamarisk.operators import counting, language, lines, reports, tfidf
 from tamarisk.plans.registry import Registry
 from tamarisk.plans.scale import lookup, spread, table
 from tamarisk.plans.table_queries import _LINES
+from tamarisk.plans.text_queries import _grams_sql
 
 R = Registry()
 
@@ -163,30 +164,48 @@ def language_model(spark: SparkSession, d: str) -> DataFrame:
     return m.select("n", "ngram", F.round("logprob", 6).alias("logprob"), F.round("backoff", 6).alias("backoff"))
 
 
-@R.add("sentence_scores")
+@R.add(
+    "sentence_scores",
+    f"""WITH {_LM}, h AS (SELECT *, CASE WHEN n > 1 THEN regexp_replace(ngram, ' [^ ]+$', '') ELSE '' END AS history FROM cnt),
+t AS (SELECT n, history, sum(c) AS total, count(*) AS types FROM h WHERE ngram <> '<s>' OR n > 1 GROUP BY n, history),
+b AS (SELECT n - 1 AS n, history AS ngram, log10(0.5 * types / total) AS backoff FROM t WHERE n > 1),
+m AS (SELECT h.n, h.ngram, CASE WHEN h.n = 1 THEN log10(c / total) ELSE log10((c - 0.5) / total) END AS lp, coalesce(backoff, 0) AS bo FROM h JOIN t USING (n, history) LEFT JOIN b ON b.n = h.n AND b.ngram = h.ngram),
+s AS (SELECT id, list_concat(['<s>'], regexp_extract_all(lower(text), '[a-z0-9_]+'), ['</s>']) AS t FROM (SELECT DISTINCT id, text FROM snippets WHERE text IS NOT NULL)),
+w AS (SELECT id, t, i FROM s, unnest(range(2, len(t) + 1)) AS u(i)),
+x AS (SELECT id, i, t[i] AS g1, array_to_string(t[i - 1 : i], ' ') AS g2, CASE WHEN i >= 3 THEN array_to_string(t[i - 2 : i], ' ') END AS g3, t[i - 1] AS h1, CASE WHEN i > 2 THEN array_to_string(t[i - 2 : i - 1], ' ') END AS h2 FROM w),
+y AS (SELECT id, p1.lp AS p1, coalesce(p3.lp, p2.lp + coalesce(b2.bo, 0), p1.lp + coalesce(b1.bo, 0) + coalesce(b2.bo, 0), -7.0) AS lp FROM x LEFT JOIN m p1 ON p1.n = 1 AND p1.ngram = g1 LEFT JOIN m p2 ON p2.n = 2 AND p2.ngram = g2 LEFT JOIN m p3 ON p3.n = 3 AND p3.ngram = g3
+  LEFT JOIN m b1 ON b1.n = 1 AND b1.ngram = h1 LEFT JOIN m b2 ON b2.n = 2 AND b2.ngram = h2)
+SELECT id, round(sum(lp), 6) AS logprob, count(*) AS tokens, count(*) FILTER (p1 IS NULL) AS unknown, round(sum(lp) / count(*), 6) AS per_token FROM y GROUP BY id""",
+)
 def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
     model = language.language_model(language.ngram_counts(_sentences(spark, d)))
     s = table(spark, d, "snippets").select("id", F.col("text").alias("sentence")).where("sentence IS NOT NULL").distinct()
-    return language.score_sentences(s, model, ["id"])
+    return language.score_sentences(s, model, ["id"]).withColumns({"logprob": F.round("logprob", 6), "per_token": F.round("per_token", 6)})
+
 
+_TOP3 = _grams_sql("2", False) + ", k AS (SELECT doc_id, count(*) AS k, avg(score) AS m, array_to_string(list_sort(list(ngram)), ', ') AS keyword_set FROM top WHERE rank <= 3 GROUP BY doc_id)"
 
-@R.add("keyword_sets")
+
+@R.add("keyword_sets", _TOP3 + " SELECT keyword_set, count(*) AS documents FROM k GROUP BY keyword_set")
 def keyword_sets(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents"), "doc_id")
     top = tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3)
     return counting.keyword_stats(top)[1]
 
 
-@R.add("keyword_summary")
+@R.add("keyword_summary", _TOP3 + " SELECT count(*) AS documents, sum(k)::BIGINT AS keywords, round(avg(m), 6) AS mean_score, (SELECT count(DISTINCT ngram) FROM top WHERE rank <= 3) AS distinct_keywords FROM k")
 def keyword_summary(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents"), "doc_id")
-    return counting.keyword_stats(tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3))[0]
+    return counting.keyword_stats(tfidf.top_terms(tfidf.frequencies(docs, (2,)), docs.count(), 3))[0].withColumn("mean_score", F.round("mean_score", 6))
 
 
-@R.add("arpa_lines", f"""WITH {_LM}, h AS (SELECT *, CASE WHEN n > 1 THEN regexp_replace(ngram, ' [^ ]+$', '') ELSE '' END AS history FROM cnt),
+@R.add(
+    "arpa_lines",
+    f"""WITH {_LM}, h AS (SELECT *, CASE WHEN n > 1 THEN regexp_replace(ngram, ' [^ ]+$', '') ELSE '' END AS history FROM cnt),
 t AS (SELECT n, history, sum(c) AS total, count(*) AS types FROM h WHERE ngram <> '<s>' OR n > 1 GROUP BY n, history)
-SELECT h.n, count(*) AS lines FROM h JOIN t USING (n, history) GROUP BY h.n""")
+SELECT h.n, ngram, round(CASE WHEN h.n = 1 THEN log10(c / total) ELSE log10((c - 0.5) / total) END, 6) AS logprob FROM h JOIN t USING (n, history)""",
+)
 def arpa_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each order that a round trip through ARPA text keeps."""
+    """The n-grams and probabilities that a round trip through ARPA text keeps."""
     model = language.language_model(language.ngram_counts(_sentences(spark, d)))
-    return language.from_arpa(language.to_arpa(model)).groupBy("n").agg(F.count(F.lit(1)).alias("lines"))
+    return language.from_arpa(language.to_arpa(model)).select("n", "ngram", F.round("logprob", 6).alias("logprob"))

@@ -1,10 +1,8 @@
 """Queries over whole tables: rows of every kind stay."""
 
-import pytest
-from conftest import SF
-
 from tamarisk.plans import catalog
 
+
 def test_as_doubles_keeps_records_with_dirty_texts(spark, tmp_path):
     rows = [("a", "n/a", "24"), ("b", "1,000", "1e3"), ("c", "85f", " 7 "), ("d", "1d", "0x1p3"), ("e", None, "inf")]
     spark.createDataFrame(rows, "record_id string, insulin string, triceps string").write.parquet(str(tmp_path / "diabetes.parquet"))
@@ -18,12 +16,3 @@ def test_lines_and_documents_of_every_kind_stay(spark, tmp_path):
     assert {r.doc_id: r.text for r in catalog.QUERIES["html_round_trip"](spark, str(tmp_path)).collect()} == texts
     got = sorted((r.doc_id, r.line) for r in catalog.QUERIES["log_collapsed"](spark, str(tmp_path)).collect())
     assert got == [(1, "ac"), (1, "ad"), (1, "plain"), (2, texts[2]), (4, "ok")]
-
-
-def test_scaled_features_are_scaled(spark, duck):
-    got = sorted((r.y, *[round(x, 6) for x in r.features]) for r in catalog.QUERIES["scaled_features"](spark, SF).collect())
-    filled = "SELECT event_type, coalesce(user_id, avg(user_id) OVER ()) AS u, coalesce(value, avg(value) OVER ()) AS v FROM events WHERE event_type IS NOT NULL"
-    want = duck.execute(f"SELECT (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE, u / stddev_samp(u) OVER (), v / stddev_samp(v) OVER () FROM ({filled})").fetchall()
-    assert len(got) == len(want) > 0
-    for a, b in zip(got, sorted((y, round(u, 6), round(v, 6)) for y, u, v in want)):
-        assert a == pytest.approx(b, abs=2e-6)
