@@ -64,7 +64,8 @@ def regression_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> Da
 
 
 def trailing_split(df: DataFrame, order: str, percent: float) -> DataFrame:
-    """Adds ``part``: the last ``percent`` of the rows in the order of a unique column are ``test``, the rest ``train``.
+    """Adds ``part``: the last ``percent`` of the rows in the order of a unique column are ``test``, the rest ``train``; rows without a place in the order
+    are neither (null).
 
     The split value is the exact rank found by counting ranges of the column, so no row is sorted globally.
     """
@@ -84,7 +85,7 @@ def trailing_split(df: DataFrame, order: str, percent: float) -> DataFrame:
         if width == 1:
             break
     cut = lo if lo is not None else 0
-    return df.withColumn("part", F.when(F.col(order) <= cut if keep > 0 else F.lit(False), "train").otherwise("test"))
+    return df.withColumn("part", F.when(F.col(order) <= cut if keep > 0 else F.lit(False), "train").when(F.col(order).isNotNull(), "test"))
 
 
 def threshold_sweep(df: DataFrame, actual: Column, score: Column, thresholds: Sequence[float]) -> DataFrame:

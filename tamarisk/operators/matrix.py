@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.plans.scale import lookup
+
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v) of A times B: one join on the inner index and one aggregation; absent cells are zero."""
+    """(i, j, v) of A times B: one join on the inner index, of which a hot one is spread over tasks, and one aggregation; absent cells are zero."""
     x = a.groupBy("i", "j").agg(F.sum("v").alias("v")).select("i", F.col("j").alias("k"), F.col("v").alias("a"))
     y = b.groupBy("i", "j").agg(F.sum("v").alias("v")).select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-    return x.join(y, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    return lookup(x, y, ["k"], "inner").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
 
 
 def gram(df: DataFrame, column: str, width: int) -> DataFrame:

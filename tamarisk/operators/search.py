@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.operators.tfidf import document_counts
-from tamarisk.plans.scale import block_files, read_block, spread, written
+from tamarisk.plans.scale import block_files, lookup, read_block, spread, written
 
 #: Query vectors that a task holds at once.
 QUERY_BLOCK = 2000
@@ -50,7 +50,7 @@ def phrase_search(docs: DataFrame, phrase: str, key: str = "doc_id", text: str =
 def query_hits(index: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of each query (query_id, query): documents that hold any of its words and its words' occurrences in all."""
     q = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    hits = index.join(q, "term")
+    hits = lookup(index, q, ["term"], "inner")
     return hits.groupBy("query_id").agg(F.countDistinct(key).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
@@ -225,6 +225,26 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_
     return c.select(key, "start_index", F.substring(F.col(text), F.col("start_index") + 1, F.lit(size)).alias("content"))
 
 
+def word_vector(text: Column | str, dims: int = 64) -> Column:
+    """A text as counts of its words in ``dims`` buckets of their digests: an embedding that needs no model and that other engines can repeat."""
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
+    # The buckets go through a lambda, so that they are made once and not for every place of the vector.
+    counted = F.transform(F.array(F.transform(terms(text), bucket)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))
+    return F.flatten(counted)
+
+
+def add_chunks(docs: DataFrame, path: str, embed: Callable[[Column], Column] = word_vector, size: int = 500, overlap: int = 50, key: str = "doc_id", text: str = "text") -> None:
+    """Adds the chunks of documents with their embeddings to a store, a folder of parquet files; ``embed`` makes a vector of a text column."""
+    c = chunks(docs, size, overlap, key, text)
+    c.select((F.col(key) * 1_000_000 + F.col("start_index")).cast("bigint").alias("vec_id"), key, "start_index", "content", embed(F.col("content")).alias("embedding")).write.mode("append").parquet(path)
+
+
+def search_chunks(store: DataFrame, queries: DataFrame, k: int = 10, embed: Callable[[Column], Column] = word_vector) -> DataFrame:
+    """query, vec_id, similarity, rank: the chunks of a store nearest to each query text (query, text) by cosine; exact. ``query`` is a whole number."""
+    asked = queries.select((-F.col("query") - 1).cast("bigint").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    return nearest_of(store, asked, k, metric="cosine").withColumn("query", -F.col("query") - 1)
+
+
 def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", planes: int = 6, tables: int = 48, seed: int = 5) -> DataFrame:
     """Approximate cosine neighbours: vectors meet in buckets of random half-spaces, then the exact similarity ranks them.
 

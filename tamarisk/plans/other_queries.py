@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,14 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import learning, sampling
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import shared_dir, table, written
+from tamarisk.plans.scale import new_folder, table, written
 from tamarisk.sources import tabular
 from tamarisk.streaming import events as streams
 
 R = Registry()
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder name in the shared folder, removed when the session ends."""
-    path = f"{shared_dir(spark)}/tamarisk-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
+_place = new_folder
 
 # Sources
 

@@ -131,17 +131,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/tamarisk-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which is removed when the session ends.
 
     Unlike a checkpoint the table carries no constraints of the plan that made it, so that it can be joined and united with itself.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamarisk-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import columns, counting, evaluation, lookups, matrix, search
 from tamarisk.plans.registry import Registry
-from tamarisk.plans.scale import lookup, spread, table
+from tamarisk.plans.scale import lookup, new_folder, spread, table
 
 R = Registry()
 
@@ -163,6 +163,28 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     return search.chunks(table(spark, d, "documents"))
 
 
+# Questions to the store of chunks.
+QUESTIONS = ("a quiet museum near the bridge", "insulin and glucose of the patient", "failed tests of the build")
+_VECTOR = "list_transform(range(0, 64), lambda d: len(list_filter(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: ('0x' || left(md5(w), 4))::INT % 64), lambda x: x = d))::DOUBLE)"
+
+
+@R.add(
+    "chunk_search",
+    f"""WITH c AS (SELECT doc_id * 1000000 + s AS vec_id, substr(text, s::INT + 1, 500) AS content FROM documents, unnest(range(0, greatest(length(text) - 51, 0) + 1, 450)) AS u(s) WHERE length(text) > 0),
+v AS (SELECT vec_id, {_VECTOR.format('content')} AS v FROM c), q AS (SELECT i - 1 AS query, {_VECTOR.format('t')} AS q FROM (SELECT unnest(range(1, 4)) AS i, unnest([{', '.join(f"'{x}'" for x in QUESTIONS)}]) AS t)),
+s AS (SELECT query, vec_id, list_cosine_similarity(v, q) AS s FROM v, q WHERE list_sum(v) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s)
+SELECT query, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10""",
+)
+def chunk_search(spark: SparkSession, d: str) -> DataFrame:
+    """A store of chunks that is filled in two goes, and searched."""
+    at = new_folder(spark)
+    docs = table(spark, d, "documents")
+    search.add_chunks(docs.where("doc_id % 2 = 0"), at)
+    search.add_chunks(docs.where("doc_id % 2 <> 0 OR doc_id IS NULL"), at)
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query bigint, text string")
+    return search.search_chunks(spark.read.parquet(at), asked).withColumn("similarity", F.round("similarity", 6))
+
+
 # Evaluation: the class of diabetes records, guessed from glucose
 
 _CLS = """c AS (SELECT DISTINCT record_id, trim("class") AS a, CASE WHEN glucose >= 125 THEN '1' ELSE '0' END AS p, glucose FROM diabetes WHERE trim("class") IN ('0', '1'))"""

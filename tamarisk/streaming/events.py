@@ -35,21 +35,35 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def deltas(events: DataFrame) -> DataFrame:
-    """user_id, event_id, delta_us since the user's last event, kept in state across batches; 0 for the first."""
+def deltas(events: DataFrame, late: str = LATE, keep_days: int = 30) -> DataFrame:
+    """user_id, event_id, delta_us since the user's last event, kept in state across batches; 0 for the first.
+
+    A user's state is dropped once the watermark is ``keep_days`` past the last event, so that state grows with the users of that time and not for ever; the next event is a
+    first one again. Events later than ``late`` behind the newest are dropped. An event that comes after a newer one of its user, but not so late, gets null, as
+    what it should follow is no longer known. A user's events of one batch are sorted by one task.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         f = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for us, i in zip(f["us"].tolist(), f["event_id"].tolist()):
-            out.append((key[0], i, 0 if last is None else us - last))
-            last = us
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "delta_us"])
-
-    timed = events.where("ts IS NOT NULL").select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, delta_us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+        us = f["us"].to_numpy()
+        before = pd.Series(us).shift(1)
+        if last is not None:
+            before.iloc[0] = last
+            before = before.where(us >= last).where(before >= last, last).where(us >= last)
+        delta = (pd.Series(us) - before).astype("Int64")
+        if last is None:
+            delta.iloc[0] = 0
+        newest = int(us[-1]) if last is None else max(last, int(us[-1]))
+        state.update((newest,))
+        state.setTimeoutTimestamp(max(newest // 1000 + keep_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(f), "event_id": f["event_id"].to_numpy(), "delta_us": delta.to_numpy()})
+
+    timed = events.where("ts IS NOT NULL").withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, delta_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(result: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
