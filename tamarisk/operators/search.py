@@ -96,7 +96,9 @@ def nearest_of(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 
 
 #: Rows that a task compares with a block of queries before it gives their best, and rows whose scores it holds at once.
-GROUP_ROWS, SCORE_ROWS = 50_000, 2000
+GROUP_ROWS, SCORE_ROWS = 20_000, 500
+#: Products of sparse vectors that a task adds up at once, and a few more where one word alone has them.
+POSTINGS = 2_000_000
 
 
 def _blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, block: int, score, descending: bool, name: str) -> DataFrame:
@@ -173,8 +175,16 @@ def _sparse(q: pa.Table, rows: pa.Table) -> Callable[[int, int], np.ndarray]:
         hit = terms[at] == t
         at, w, i = at[hit], w[hit], i[hit]
         n = counts[at]
-        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at], n)
-        out = np.bincount(qi[post] * (b - a) + np.repeat(i, n), qw[post] * np.repeat(w, n), len(q) * (b - a)).reshape(len(q), b - a)
+        out = np.zeros(len(q) * (b - a))
+        # Frequent words meet many postings; so many products at once, whatever the words.
+        upto = np.cumsum(n)
+        cuts = [0, *np.searchsorted(upto, np.arange(POSTINGS, upto[-1] if len(upto) else 0, POSTINGS), side="right"), len(n)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            m = n[lo:hi]
+            if len(m):
+                post = np.arange(m.sum()) + np.repeat(starts[at[lo:hi]] - (np.cumsum(m) - m), m)
+                out += np.bincount(qi[post] * (b - a) + np.repeat(i[lo:hi], m), qw[post] * np.repeat(w[lo:hi], m), len(out))
+        out = out.reshape(len(q), b - a)
         return np.where(out > 0, out, np.nan)
 
     return scores
