@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,26 +50,93 @@ def whole_as_int(x: Num) -> Column:
 
 
 def is_prime(x: Num) -> Column:
-    """True iff a whole number has no divisor but 1 and itself; tries up to its square root."""
+    """True iff a whole number has no divisor but 1 and itself; tries 2, 3 and the numbers beside multiples of 6 up to its square root."""
     n = _c(x).cast("bigint")
-    top = F.greatest(F.floor(F.sqrt(F.greatest(n, F.lit(4)).cast("double"))).cast("bigint"), F.lit(2).cast("bigint"))
-    return (n > 1) & ((n < 4) | F.forall(F.sequence(F.lit(2).cast("bigint"), top), lambda d: n % d != 0))
+    top = F.greatest(F.floor(F.sqrt(F.greatest(n, F.lit(4)).cast("double"))).cast("bigint"), F.lit(5).cast("bigint"))
+    beside = F.forall(F.sequence(F.lit(5).cast("bigint"), top, F.lit(6).cast("bigint")), lambda d: (n % d != 0) & (n % (d + 2) != 0))
+    return (n > 1) & ((n < 4) | ((n % 2 != 0) & (n % 3 != 0) & ((n < 25) | beside)))
+
+
+#: Primes that are tried on all numbers of a batch at once; what is left has only larger factors.
+TRIED = [p for p in range(2, 1 << 12) if all(p % q for q in range(2, int(p**0.5) + 1))]
+
+
+def _surely_prime(n: int) -> bool:
+    """The strong test to the first twelve primes, which is exact below 2^64; ``n`` is odd and has no factor in TRIED."""
+    twos = ((n - 1) & (1 - n)).bit_length() - 1
+    for base in TRIED[:12]:
+        x = pow(base, (n - 1) >> twos, n)
+        if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
+def _large_factors(n: int) -> list[int]:
+    """The prime factors, in order, of a number that has none in TRIED, by Pollard's rho method."""
+    if n < TRIED[-1] ** 2 or _surely_prime(n):
+        return [n]
+    for c in range(1, n):
+        x = y = 2
+        while True:
+            # The differences of many steps share one common divisor; where it is n, they are gone through one by one.
+            at, product = (x, y), 1
+            for _ in range(128):
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                product = product * (x - y) % n
+            if (f := math.gcd(product, n)) > 1:
+                break
+        if f == n:
+            (x, y), f = at, 1
+            while f == 1:
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                f = math.gcd(x - y, n)
+        if f < n:
+            return sorted(_large_factors(f) + _large_factors(n // f))
+    raise ArithmeticError(n)  # never: some c parts every number that is not prime
+
+
+def _factors_of(n: np.ndarray) -> list[np.ndarray]:
+    """The prime factors of each number in order: small primes divide all numbers at once, the rest one by one."""
+    rest = np.maximum(n, 1)
+    rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def note(at: np.ndarray, values) -> None:
+        rows.append(at)
+        found.append(np.broadcast_to(np.asarray(values, np.int64), at.shape))
+
+    live = np.arange(len(rest))
+    for p in TRIED:
+        live = live[rest[live] >= p * p]
+        if not len(live):
+            break
+        hit = live[rest[live] % p == 0]
+        while len(hit):
+            rest[hit] //= p
+            note(hit, p)
+            hit = hit[rest[hit] % p == 0]
+    large = rest > TRIED[-1] ** 2
+    one = np.flatnonzero((rest > 1) & ~large)
+    note(one, rest[one])
+    for value in np.unique(rest[large]):
+        for f in _large_factors(int(value)):
+            note(np.flatnonzero(rest == value), f)
+    at = np.concatenate(rows)
+    return np.split(np.concatenate(found)[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at, minlength=len(n)))[:-1])
 
 
 def prime_factors(x: Num) -> Column:
-    """The prime factors of a whole number in order, repeated ones repeated; none below 2."""
-    n = _c(x).cast("bigint")
-    top = F.greatest(F.floor(F.sqrt(F.greatest(n, F.lit(4)).cast("double"))).cast("bigint"), F.lit(2).cast("bigint"))
-    start = F.struct(n.alias("rest"), F.array().cast("array<bigint>").alias("found"))
+    """The prime factors of a whole number in order, repeated ones repeated; none below 2 and for null."""
 
-    def step(acc: Column, d: Column) -> Column:
-        # How often d divides what is left: at most 63 times in 64 bits.
-        powers = F.filter(F.sequence(F.lit(1), F.lit(62)), lambda k: (F.pow(d.cast("double"), k) <= acc["rest"]) & (acc["rest"] % F.greatest(F.pow(d.cast("double"), k).cast("bigint"), F.lit(1)) == 0))
-        times = F.size(powers)
-        return F.struct((acc["rest"] / F.pow(d.cast("double"), times)).cast("bigint").alias("rest"), F.concat(acc["found"], F.array_repeat(d, times)).alias("found"))
+    @F.pandas_udf("array<bigint>")
+    def factors(n: pd.Series) -> pd.Series:
+        return pd.Series(_factors_of(n.fillna(0).to_numpy().astype(np.int64)), dtype=object)
 
-    done = F.aggregate(F.sequence(F.lit(2).cast("bigint"), top), start, step)
-    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.when(done["rest"] > 1, F.array_append(done["found"], done["rest"])).otherwise(done["found"]))
+    # A null goes as 0, since a column with nulls would come as floating point numbers.
+    return factors(F.coalesce(_c(x).cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def fibonacci(limit: Num) -> Column:

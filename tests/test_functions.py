@@ -36,7 +36,7 @@ CASES = [
     (lambda: text.clean(lit("A <b>B</b> - c &amp; “d”\n e")), "a b; c   \"d\" e"),
     (lambda: numbers.round_as_text(lit(1.5), 3), "1.500"), (lambda: numbers.to_int(lit("7.9")), 7), (lambda: numbers.to_int(lit("x"), 3), 3), (lambda: numbers.to_int(lit("ff"), base=16), 255), (lambda: numbers.to_bool(lit("Off")), False), (lambda: numbers.to_bool(lit("yes")), True), (lambda: numbers.to_bool(lit(None).cast("string")), False),
     (lambda: numbers.is_close(lit(1.0), lit(1.0 + 1e-12)), True), (lambda: numbers.is_close(lit(1.0), lit(1.1)), False), (lambda: numbers.whole_as_int(lit(3.0)), "3"), (lambda: numbers.whole_as_int(lit(3.5)), "3.5"),
-    (lambda: numbers.is_prime(lit(97)), True), (lambda: numbers.is_prime(lit(1)), False), (lambda: numbers.is_prime(lit(91)), False), (lambda: numbers.prime_factors(lit(360)), [2, 2, 2, 3, 3, 5]), (lambda: numbers.prime_factors(lit(97)), [97]), (lambda: numbers.fibonacci(lit(10)), [0, 1, 1, 2, 3, 5, 8]), (lambda: numbers.rgb(lit("#abc"))["g"], 187), (lambda: numbers.rgb(lit("zz")), None),
+    (lambda: numbers.is_prime(lit(97)), True), (lambda: numbers.is_prime(lit(1)), False), (lambda: numbers.is_prime(lit(91)), False), (lambda: numbers.prime_factors(lit(360)), [2, 2, 2, 3, 3, 5]), (lambda: numbers.prime_factors(lit(97)), [97]), (lambda: numbers.prime_factors(lit(9223372036854775783)), [9223372036854775783]), (lambda: numbers.prime_factors(lit(2147483647 * 2147483629 * 2)), [2, 2147483629, 2147483647]), (lambda: numbers.fibonacci(lit(10)), [0, 1, 1, 2, 3, 5, 8]), (lambda: numbers.rgb(lit("#abc"))["g"], 187), (lambda: numbers.rgb(lit("zz")), None),
     (lambda: dates.ddmmmyy(lit("2024-01-05").cast("date")), "05 jan 24"), (lambda: dates.parse_timestamp(lit("2023-10-01T10:20:27.1271709Z")).cast("string"), "2023-10-01 10:20:27.12717"), (lambda: dates.resolve_date(lit("Fri 5 Jan 24")).cast("string"), "2024-01-05"), (lambda: dates.resolve_date(lit("5 Jan 75")).cast("string"), "1975-01-05"), (lambda: dates.resolve_date(lit("junk")).cast("string"), "1900-01-01"), (lambda: dates.resolve_date(lit("31 Feb 2020")).cast("string"), "1900-01-01"),
     (lambda: dates.range_hours(lit("9:30-11 x")), 1.5), (lambda: dates.range_hours(lit("11-1: x")), 2.0), (lambda: dates.range_hours(lit("x")), None), (lambda: dates.short_weekday(lit("Tuesday: a")), "tue: a"), (lambda: dates.short_weekday(lit("wednes: a")), "wed: a"), (lambda: dates.transcript_time(lit("00:05:10 hi")), "5:10 hi"),
     (lambda: arrays.union_keeping(arr("a", "a"), arr("b", "a")), ["a", "a", "b"]), (lambda: arrays.relative_intersection(arr("a", "b"), arr("b")), 0.5), (lambda: arrays.relative_intersection(arr(), arr()), 0.0), (lambda: arrays.difference_keeping(arr("a", "b", "a"), arr("b")), ["a", "a"]), (lambda: arrays.remove_first(arr("a", "b", "a"), arr("a", "c")), ["b", "a"]),
@@ -55,3 +55,23 @@ def test_value(spark, k):
         assert abs(got - want) < 1e-12
     else:
         assert got == want
+
+
+def test_factors_against_trial(spark):
+    """Every number up to 3000 and around the square of the last prime that is tried on all."""
+    def by_trial(n):
+        f, d = [], 2
+        while n > 1:
+            if d * d > n:
+                return [*f, n]
+            while n % d == 0:
+                f, n = [*f, d], n // d
+            d += 1
+        return f
+
+    edge = numbers.TRIED[-1] ** 2
+    t = spark.range(3000).union(spark.range(edge - 40, edge + 40)).union(spark.range(4099**2 - 1, 4099**2 + 2))
+    for r in t.select("id", numbers.prime_factors("id").alias("f"), numbers.is_prime("id").alias("p")).collect():
+        assert r.f == by_trial(r.id) and r.p == (len(r.f) == 1), r
+    none = spark.sql("SELECT explode(array(null, -6, 12)) AS n").select(numbers.prime_factors("n").alias("f")).collect()
+    assert [r.f for r in none] == [[], [], [2, 2, 3]]
