@@ -17,8 +17,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators.search import nearest_of
-from tamarisk.plans.scale import written
+from tamarisk.operators.search import BOX_WIDTH, nearest_of, nearest_points
+from tamarisk.plans.scale import lookup, written
 
 CLASSIFIERS = {
     "nb": lambda: NaiveBayes(), "lr": lambda: LogisticRegression(maxIter=20), "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=10)),
@@ -177,13 +177,23 @@ def discriminant(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def nearest(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """``test`` (y, features) with the most frequent class of the ``k`` nearest rows of ``train`` (ties: the smaller class); exact, see ``search.nearest_of``."""
+    """``test`` (y, features) with the most frequent class of the ``k`` nearest rows of ``train`` (ties: the smaller class); exact, see ``search.nearest_of``.
+
+    Rows with the same features count one by one, but are sought once: of the ``k`` nearest rows each is among the ``k`` first of its features, and these among the ``k``
+    nearest features, ranked by their first row. Few features are sought in boxes, see ``search.nearest_points``.
+    """
     numbered = lambda t: written(t.select("y", vector_to_array("features").alias("embedding")).withColumn("vec_id", F.monotonically_increasing_id()))
     known, asked = numbered(train), numbered(test).withColumn("vec_id", -F.col("vec_id") - 1)
-    near = nearest_of(known, asked, k)
-    votes = near.join(known.select("vec_id", F.col("y").alias("vote")), "vec_id").groupBy("query", "vote").agg(F.count(F.lit(1)).alias("n"))
-    top = votes.groupBy("query").agg(F.max(F.struct("n", (-F.col("vote")).alias("v")))["v"].alias("v"))
-    return asked.join(top, asked["vec_id"] == top["query"], "left").select("y", (-F.col("v")).alias("prediction"))
+    first = known.withColumn("n", F.expr("row_number() OVER (PARTITION BY embedding ORDER BY vec_id)")).where(F.col("n") <= k)
+    points = written(first.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.collect_list(F.struct(F.col("vec_id").alias("row"), F.col("y").alias("vote"))).alias("rows")))
+    places = written(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")))
+    width = points.select(F.size("embedding")).first()
+    near = nearest_points(points, places, k) if width and 0 < width[0] <= BOX_WIDTH else nearest_of(points, places, k)
+    rows = near.join(points.select("vec_id", "rows"), "vec_id").select("query", "distance", F.inline("rows"))
+    ranked = rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), row)")).where(F.col("rank") <= k)
+    votes = ranked.groupBy("query", "vote").agg(F.count(F.lit(1)).alias("n"))
+    top = votes.groupBy(F.col("query").alias("vec_id")).agg(F.max(F.struct("n", (-F.col("vote")).alias("v")))["v"].alias("v"))
+    return lookup(asked, places.join(top, "vec_id").select("embedding", "v"), ["embedding"]).select("y", (-F.col("v")).alias("prediction"))
 
 
 def cross_validated(data: DataFrame, classifier: str, folds: int = 5, grid: dict[str, Sequence] | None = None, seed: int = 7919) -> tuple[float, float, dict]:

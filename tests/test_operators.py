@@ -400,3 +400,26 @@ def test_ranges_number_labels_and_add_up(spark, many_parts):
         assert (r.tp, r.fp) == (sum(a and s >= r.threshold for a, s in rows), sum((not a) and s >= r.threshold for a, s in rows))
     pos, neg = [s for a, s in rows if a], [s for a, s in rows if not a]
     assert evaluation.roc_auc(t, F.col("a"), F.col("s")).first().auc == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+
+
+def test_nearest_counts_rows_of_the_same_features_and_passes_over_boxes(spark, monkeypatch):
+    """Against brute force over rows, with many ties, several files of points, and queries that stand on a point."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from tamarisk.operators import learning
+
+    monkeypatch.setattr(search, "BOX_BLOCK", 150)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 7, (900, 3)).astype(float), rng.integers(0, 9, (200, 3)).astype(float)
+    make = lambda m, ys: spark.createDataFrame([(float(y), r.tolist()) for y, r in zip(ys, m)], "y double, f array<double>").coalesce(1).select("y", array_to_vector("f").alias("features"))
+    ya, yb = rng.integers(0, 3, 900), np.arange(200)
+    got = {r.y: r.prediction for r in learning.nearest(make(a, ya), make(b, yb)).collect()}
+    for n, p in enumerate(b):
+        order = np.lexsort((np.arange(900), np.round(np.sqrt(((a - p) ** 2).sum(axis=1)), 9)))[:5]
+        votes = np.bincount(ya[order], minlength=3)
+        assert got[float(n)] == votes.argmax(), n
+    points = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(a)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(-n - 1, r.tolist()) for n, r in enumerate(b)], "vec_id long, embedding array<double>")
+    want = {(r["query"], r.vec_id) for r in search.nearest_of(points, asked, 5).collect()}
+    assert {(r["query"], r.vec_id) for r in search.nearest_points(points, asked, 5).collect()} == want and len(want) == 1000
