@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,7 +405,6 @@ def test_ranges_number_labels_and_add_up(spark, many_parts):
 
 def test_nearest_counts_rows_of_the_same_features_and_passes_over_boxes(spark, monkeypatch):
     """Against brute force over rows, with many ties, several files of points, and queries that stand on a point."""
-    import numpy as np
     from pyspark.ml.functions import array_to_vector
 
     from tamarisk.operators import learning
@@ -423,3 +423,25 @@ def test_nearest_counts_rows_of_the_same_features_and_passes_over_boxes(spark, m
     asked = spark.createDataFrame([(-n - 1, r.tolist()) for n, r in enumerate(b)], "vec_id long, embedding array<double>")
     want = {(r["query"], r.vec_id) for r in search.nearest_of(points, asked, 5).collect()}
     assert {(r["query"], r.vec_id) for r in search.nearest_points(points, asked, 5).collect()} == want and len(want) == 1000
+
+
+def test_sketches_pass_over_pairs_without_a_loss(spark, monkeypatch):
+    """Against all products, with several blocks and groups; and no sketch, whatever its axes, has less than a product."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(search, "GROUP_ROWS", 10)
+    kinds = [rng.choice(400, 40, replace=False) for _ in range(8)]
+    texts = {i: " ".join(f"w{t}" for t in rng.choice(kinds[i % 8], 25)) for i in range(1, 301)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    v = search.written(search.tfidf_vectors(search.inverted_index(docs), 300))
+    got = {(r["query"], r["rank"]): r.doc_id for r in search.cosine_neighbours(v, F.col("doc_id") % 5 == 0, 3, block=20).collect()}
+    vec = {r.doc_id: dict(zip(r.terms, r.weights)) for r in v.collect()}
+    for q in range(5, 301, 5):
+        sims = sorted(((-round(sum(w * vec[j].get(t, 0) for t, w in vec[q].items()), 9), j) for j in vec if j != q))
+        assert [got[q, n + 1] for n in range(3)] == [j for _, j in sims[:3]]
+    rows = pa.table({"doc_id": list(vec), "terms": [list(x) for x in vec.values()], "weights": [list(x.values()) for x in vec.values()]})
+    (t, starts), (w, _) = search._flat(rows.column("terms")), search._flat(rows.column("weights"))
+    terms = np.unique(t)[::2]
+    short = search.Sketch(terms, np.linalg.qr(rng.standard_normal((len(terms), 20)))[0]).of(t, w, starts)
+    dense = np.zeros((300, len(np.unique(t))))
+    dense[np.repeat(np.arange(300), np.diff(starts)), np.unique(t, return_inverse=True)[1]] = w
+    assert ((short @ short.T) - dense @ dense.T).min() > -search.SLACK
